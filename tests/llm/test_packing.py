@@ -8,13 +8,14 @@ from tokenizers import Tokenizer
 
 from packetloom.llm import packing, token_output
 from packetloom.llm.bestfit import best_fit_decreasing
-from packetloom.llm.tokens import default_vocabulary
+from packetloom.llm.tokens import default_vocabulary, encoder
 
+TOKENIZER = Tokenizer.from_file(default_vocabulary())
 ROWS = [(1, "Hello  world\n it's fine"), (2, None), (3, ""), (4, "naïve Été café, " * 3000), (4, "again"), (None, "no id"), (7, "x" * 9000), (8, "<|endoftext|> a b́ \x1c c")]
 
 
 def expected_ids(text):
-    t = Tokenizer.from_file(default_vocabulary())
+    t = TOKENIZER
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -42,6 +43,12 @@ def test_best_fit(lengths):
     assert len(fills) == len(rooms)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abcdEÉéßøÿİſ.,'s|<>#9 \n\t\x1c\u0301\u00a0tre"), max_size=30), max_size=5))
+def test_encoder_equals_the_tokenizer(texts):
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(default_vocabulary(), 1).encode(texts)] == [expected_ids(t) for t in texts]
+
+
 def test_pack_documents(spark):
     docs = spark.createDataFrame([(i, t, "x", 9) for i, t in ROWS], "doc_id long, text string, piece string, length int")
     got = packing.pack_documents(docs).collect()
