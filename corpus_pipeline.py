@@ -1,22 +1,56 @@
-"""Corpus pipeline: toxicity, near-duplicates, decontamination, secrets, packing."""
+"""Corpus pipeline over ``documents``: toxicity, near-duplicates, benchmark passages, secrets, packing.
+
+Each stage works on all that the one before kept, and its decisions take effect: toxic documents go, one document of
+each group of near-duplicates stays, documents with a benchmark passage go, secrets are masked, and what is left is
+packed. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from packetloom.llm import decontamination, near_dedup, packing, secret_scan, toxicity
+from packetloom.llm.common import documents, written
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    judged = near_dedup.near_duplicates(docs)
+    dropped = written(judged.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct(), "near-duplicates")
+    return near_dedup.without(docs, dropped, "doc_id")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
 
-from packetloom.llm import packing
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
+    ("packing", pack),
+]
+#: Trained scores, minima and token ids have no SQL; tests/llm compares the stages with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = documents(spark, sf_dir)
+    for turn, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if turn < len(STAGES):
+            docs = written(docs, f"pipeline-{name}")
     return docs

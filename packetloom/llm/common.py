@@ -50,7 +50,8 @@ def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.nd
 
     Returns codes (int32, all words in order), offsets (int64, one more than texts) and the dictionary.
     """
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    # No cast here: kernels misread the offsets of a slice that was cast to large_string.
+    texts = pc.fill_null(texts, "")
     if lower:
         texts = pc.ascii_lower(texts)
     parts = pc.ascii_split_whitespace(texts)

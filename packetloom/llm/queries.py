@@ -5,10 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from packetloom.llm import packing, token_output
+from packetloom.llm import (
+    decontamination,
+    lattice_lm,
+    near_dedup,
+    packing,
+    repetition,
+    secret_scan,
+    site_quality,
+    token_output,
+    toxicity,
+    url_rules,
+)
 from packetloom.llm.common import documents
 
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
 
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.digest(token_output.write_token_matrices(documents(spark, sf_dir)))
@@ -18,9 +36,92 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_passages(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.judge_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(documents(spark, sf_dir))
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rule_rows(spark, list(URL_RULES)))
+
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+def op9_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_rules(documents(spark, sf_dir))
+
+
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.lattice_scores(documents(spark, sf_dir))
+
+
+QUERIES = (
+    op1_token_output, op2_best_fit_packing, op3_decontamination, op4_toxicity, op5_site_quality,
+    op6_secret_scan, op7_url_rules, op8_near_dedup, op9_repetition_rules, op10_lattice_lm,
+)
+
+OP7_SQL = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+sites AS (SELECT DISTINCT host, path FROM parts),
+best AS (
+  SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+  FROM sites JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p) GROUP BY host, path)
+SELECT page_id, parts.host, parts.path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN best ON parts.host = best.host AND parts.path = best.path
+"""
+
+
+def op9_sql() -> str:
+    """The counts by positions and windows; equal windows are found by their words instead of by hashes."""
+    grams = {3: "n_repeat_words", **{n: f"dup_{n}gram_chars" for n in repetition.NGRAM_LIMITS}}
+    parts = []
+    for n in grams:
+        parts.append(f"""
+w{n} AS (SELECT doc_id, i, hash(words[i:i + {n - 1}]) AS a, md5(array_to_string(words[i:i + {n - 1}], ' ')) AS b
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - {n} + 2)) AS i FROM texts WHERE len(words) >= {n})),
+r{n} AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b) AS times FROM w{n}) WHERE times > 1),
+c{n} AS (SELECT doc_id, count(*) AS n, sum(length(word)) AS chars FROM (
+    SELECT DISTINCT r.doc_id, r.i + k AS at FROM r{n} r, range(0, {n}) AS s(k)) x
+  JOIN positions p ON p.doc_id = x.doc_id AND p.i = x.at GROUP BY doc_id)""".replace("SELECT doc_id, count(*) AS n, sum(length(word)) AS chars", "SELECT x.doc_id AS doc_id, count(*) AS n, sum(length(word)) AS chars").replace("p.i = x.at GROUP BY doc_id", "p.i = x.at GROUP BY x.doc_id"))
+    counts = ", ".join(f"coalesce(c{n}.{'n' if n == 3 else 'chars'}, 0)::BIGINT AS {name}" for n, name in grams.items())
+    joins = " ".join(f"LEFT JOIN c{n} ON c{n}.doc_id = t.doc_id" for n in grams)
+    over = " OR ".join([f"dup_line_chars > {repetition.LINE_LIMIT} * word_chars", *(f"dup_{n}gram_chars > {most} * word_chars" for n, most in repetition.NGRAM_LIMITS.items())])
+    return rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+positions AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM texts),
+lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY at) AS turn FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS at FROM texts) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM lines WHERE turn > 1 GROUP BY doc_id),
+{",".join(parts)},
+counted AS (SELECT t.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(dup.chars, 0)::BIGINT AS dup_line_chars, {counts}
+  FROM texts t LEFT JOIN dup ON dup.doc_id = t.doc_id {joins}),
+judged AS (SELECT *, n_words < {repetition.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT *, NOT base_failed AND NOT ({over}) AS kept FROM judged
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_token_output": op1_token_output, "op2_best_fit_packing": op2_best_fit_packing}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_rules": OP7_SQL, "op9_repetition_rules": op9_sql()}

@@ -1,13 +1,17 @@
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from packetloom.llm import packing, token_output
+
 from packetloom.llm.bestfit import best_fit_decreasing
+from packetloom.llm.common import split_words
 from packetloom.llm.tokens import default_vocabulary, encoder
 
 TOKENIZER = Tokenizer.from_file(default_vocabulary())
@@ -95,14 +99,14 @@ def test_token_matrices_round_trip(spark):
 
 @pytest.mark.parametrize("lower", [True, False])
 def test_split_words(lower):
-    import re
-
-    import pyarrow as pa
+    texts = [None, "", " a  B\tc\n\x0bd\x0ce\r", "É  x y \x1cz", "A" * 100]
+    whole = pa.array(["before this slice", *texts, "after"], pa.string())
+    filled = pa.array(["before this slice", *(t or "" for t in texts), "after"], pa.string())
+    for array in (pa.array(texts, pa.string()), whole.slice(1, len(texts)), filled.slice(1, len(texts))):
+        check_words(texts, *split_words(array, lower), lower)
 
-    from packetloom.llm.common import split_words
 
-    texts = [None, "", " a  B\tc\n\x0bd\x0ce\r", "É  x y \x1cz", "A" * 100]
-    codes, offsets, words = split_words(pa.array(texts), lower)
+def check_words(texts, codes, offsets, words, lower):
     for k, t in enumerate(texts):
         want = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         if lower:
