@@ -28,7 +28,6 @@ MARK = "▁"
 HOT_WORDS = 500_000
 #: Weight of the prior, in tokens, against the counts.
 PRIOR_TOKENS = 32_000.0
-LONG_WORD = 64
 
 WORDS = "word string, n long"
 _WORDS = pa.schema([("word", pa.string()), ("n", pa.int64())])
@@ -68,7 +67,13 @@ class Lattice:
         self.single: dict[str, float] = {k: v for k, v in table.items() if len(k) == 1}
         self.longest = max(map(len, table), default=1)
         names = [k for k in table if len(k) > 1]
-        keys = np.array([self._hash(np.array([*map(ord, k)], np.uint64)[None, :])[0] for k in names], np.uint64)
+        names.sort(key=len)
+        keys = np.zeros(len(names), np.uint64)
+        sizes = np.array([*map(len, names)], np.int64)
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            codes = np.frombuffer("".join(names[k] for k in own.tolist()).encode("utf-32-le", "surrogatepass"), "<u4")
+            keys[own] = self._hash(codes.reshape(len(own), size).astype(np.uint64))
         order = np.argsort(keys)
         self.keys, self.values = keys[order], np.array([table[k] for k in names])[order]
         if len(np.unique(self.keys)) < len(names):

@@ -1,9 +1,9 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
-A word's input is its own hashed vector next to the mean of the vectors of its character n-grams, so spellings never
+A word's input is its own hashed vector next to the scaled sum of those of its character n-grams, so spellings never
 seen still say something. Windows of words overlap and cover the whole text; a window's states are pooled by attention
-into one logit, and a document's score is that of its worst window. The network is trained on a bounded sample of
-labelled rows: first on all their windows, then on the worst ones under the network so far.
+into one logit. A document's score is a small logistic model over all its windows: the worst ones, and how many are
+toxic. Both are trained on a bounded sample of labelled rows, the second on rows that the network has not learnt from.
 """
 
 from __future__ import annotations
@@ -18,12 +18,16 @@ from packetloom.llm.common import fold, split_words
 
 HELD_OUT = 0
 WINDOW, STRIDE = 48, 32
-#: The sample of labelled rows: at most so many of each label, of at most so many characters (24 MB in all).
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 900, 1500, 10_000
-WORD_ROWS = GRAM_ROWS = 1 << 14
+#: The sample of labelled rows: at most so many of each label, of at most so many characters (55 MB in all).
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 4000, 10_000
+WORD_ROWS = GRAM_ROWS = 1 << 16
+#: Words and n-grams of fewer sampled texts stay at zero: what one text alone holds teaches nothing about others.
+LEAST_TEXTS = 4
 WIDTH, HIDDEN = 8, 8
 GRAMS = (3, 4, 5)
-BATCH, STEPS, WARM_STEPS, RATE = 512, 420, 140, 0.012
+BATCH, STEPS, RATE, DECAY = 512, 320, 0.012, 0.15
+#: Share of windows of toxic texts in a training step, and worst windows that the text's model sees.
+TOXIC_SHARE, TOP = 0.4, 3
 SEED = 5
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -75,12 +79,12 @@ class Network:
     def __init__(self, seed: int = SEED):
         rng = np.random.default_rng(seed)
         small = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
-        self.p = {"word": small(WORD_ROWS, WIDTH), "gram": small(GRAM_ROWS, WIDTH), "v": small(2 * HIDDEN), "w": small(2 * HIDDEN), "b": np.zeros(1, np.float32)}
+        self.p = {"word": small(WORD_ROWS, WIDTH) * np.float32(0.2), "gram": small(GRAM_ROWS, WIDTH) * np.float32(0.2), "v": small(2 * HIDDEN), "w": small(2 * HIDDEN), "b": np.zeros(1, np.float32)}
         for d in "fb":
             self.p |= {f"W{d}": small(2 * WIDTH, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32), f"U{d}": small(HIDDEN, 3 * HIDDEN)}
 
     def inputs(self, words: Vocabulary) -> np.ndarray:
-        grams = np.add.reduceat(self.p["gram"][words.grams], words.starts, axis=0) / words.counts[:, None] if len(words.words) else np.zeros((0, WIDTH), np.float32)
+        grams = np.add.reduceat(self.p["gram"][words.grams], words.starts, axis=0) / np.sqrt(words.counts)[:, None] if len(words.words) else np.zeros((0, WIDTH), np.float32)
         return np.concatenate([self.p["word"][words.words], grams], axis=1)
 
     def projected(self, inputs: np.ndarray, d: str) -> np.ndarray:
@@ -152,7 +156,7 @@ class Network:
             d_x += d_given @ p[f"W{d}"].T
         g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
         np.add.at(g["word"], words.words, d_x[:, :WIDTH])
-        np.add.at(g["gram"], words.grams, (d_x[:, WIDTH:] / words.counts[:, None])[words.owners])
+        np.add.at(g["gram"], words.grams, (d_x[:, WIDTH:] / np.sqrt(words.counts)[:, None])[words.owners])
         return g
 
 
@@ -173,37 +177,80 @@ def texts_of(batch: pa.Array) -> tuple[Vocabulary, np.ndarray, np.ndarray]:
     return Vocabulary(words), *windows(codes, bounds, len(words))
 
 
-def train(texts: list[str], toxic: list[int], steps: int = STEPS) -> Network | float:
-    """A network, or the share of toxic rows where there are not two labels to tell apart."""
+def evidence(logits: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """What all windows of each text say: the three worst logits, how many windows are toxic, and how many there are."""
+    order = np.lexsort((-logits, text))
+    rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
+    out = np.full((texts, TOP), -6.0)
+    top = rank < TOP
+    out[text[order][top], rank[top]] = np.clip(logits[order][top], -6, 8)
+    count = np.bincount(text, weights=1 / (1 + np.exp(-np.clip(logits, -30, 30).astype(np.float64))), minlength=texts)
+    return np.column_stack([out, np.log1p(count), np.log1p(np.bincount(text, minlength=texts))])
+
+
+def fit_head(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A ridge logistic model over the evidence: means, scales and weights, the last one the intercept."""
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
+    w = np.zeros(z.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        ridge = np.append(np.full(len(w) - 1, 0.5), 1e-6)
+        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (p - y) + ridge * w)
+    return mean, scale, w
+
+
+class Scorer:
+    """A trained network and the model over its windows."""
+
+    def __init__(self, net: Network, head: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        self.net, self.head = net, head
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        words, codes, text = texts_of(texts)
+        mean, scale, w = self.head
+        z = (evidence(self.net.logits(self.net.inputs(words), codes), text, len(texts)) - mean) / scale
+        return 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -30, 30)))
+
+
+def train(texts: list[str], toxic: list[int], steps: int = STEPS) -> Scorer | float:
+    """A scorer, or the share of toxic rows where there are not two labels to tell apart.
+
+    The network learns from the windows of three texts of four, as many toxic ones as ``TOXIC_SHARE`` says; the model
+    over its windows from the fourth, which it has not seen.
+    """
     labels = np.array(toxic, np.float32)
-    if len(labels) == 0 or labels.min() == labels.max():
+    apart = np.arange(len(labels)) % 4 == 0
+    if any(len(part) == 0 or part.min() == part.max() for part in (labels[apart], labels[~apart])):
         return float((labels.sum() + 0.5) / (len(labels) + 50.0))
     words, codes, text = texts_of(pa.array(texts, pa.string()))
     net, rng = Network(), np.random.default_rng(SEED)
+    met = np.unique(text[:, None] * (len(words.words) + 1) + codes) % (len(words.words) + 1)
+    texts_with = np.bincount(met, minlength=len(words.words) + 1)[:-1]
+    seen = {"word": np.bincount(words.words, weights=texts_with, minlength=WORD_ROWS), "gram": np.bincount(words.grams, weights=texts_with[words.owners], minlength=GRAM_ROWS)}
+    used_rows = {name: (n >= LEAST_TEXTS)[:, None] for name, n in seen.items()}
+    for name, rows in used_rows.items():
+        net.p[name] *= rows
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
-    chosen = np.arange(len(codes))
-    unused = np.zeros(0, np.int64)
+    pools = [np.flatnonzero(~apart[text] & (labels[text] == y)) for y in (1, 0)]
     for step in range(steps):
-        if step >= WARM_STEPS and (step - WARM_STEPS) % 40 == 0:
-            order = np.lexsort((-net.logits(net.inputs(words), codes), text))
-            rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
-            own = labels[text[order]] == 1
-            chosen = np.concatenate([order[(rank < 1) | (~own & (rank < 3))], rng.choice(order[~own], min(int((~own).sum()), len(texts)))])
-            unused = unused[:0]
-        if len(unused) < 1:
-            unused = rng.permutation(chosen)
-        some, unused = unused[:BATCH], unused[BATCH:]
-        y = labels[text[some]]
-        share = max(0.02, float(y.mean()))
+        some = np.concatenate([rng.choice(pools[0], int(BATCH * TOXIC_SHARE)), rng.choice(pools[1], BATCH - int(BATCH * TOXIC_SHARE))])
         used = np.unique(codes[some])
         used = used[used < len(words.words)]
         part, own_codes = subset(words, used), np.searchsorted(used, codes[some])
-        for name, g in net.gradients(part, own_codes, y, np.where(y == 1, 0.5 / share, 0.5 / max(0.02, 1 - share))).items():
+        rate = RATE * min(1.0, 2.0 * (1 - step / steps))
+        for name, g in net.gradients(part, own_codes, labels[text[some]], np.ones(BATCH, np.float32)).items():
+            if name in used_rows:
+                g = g * used_rows[name]
+                net.p[name] *= 1 - rate * DECAY
             first[name] = 0.9 * first[name] + 0.1 * g
             second[name] = 0.99 * second[name] + 0.01 * g * g
-            net.p[name] -= RATE * (first[name] / (1 - 0.9 ** (step + 1))) / (np.sqrt(second[name] / (1 - 0.99 ** (step + 1))) + 1e-6)
-    return net
+            net.p[name] -= rate * (first[name] / (1 - 0.9 ** (step + 1))) / (np.sqrt(second[name] / (1 - 0.99 ** (step + 1))) + 1e-6)
+    rest = np.flatnonzero(apart[text])
+    own = np.cumsum(apart) - 1
+    head = fit_head(evidence(net.logits(net.inputs(words), codes[rest]), own[text[rest]], int(apart.sum())), labels[apart])
+    return Scorer(net, head)
 
 
 def subset(words: Vocabulary, used: np.ndarray) -> Vocabulary:
@@ -237,17 +284,11 @@ def scorer(docs: DataFrame, labels: DataFrame):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        net = shared.value
-        if isinstance(net, float):
-            return pd.Series(np.full(len(texts), net))
-        out = [np.zeros(0)]
-        for at in range(0, len(texts), 512):
-            part = pa.array(texts.iloc[at : at + 512], pa.string(), from_pandas=True)
-            words, codes, text = texts_of(part)
-            worst = np.full(len(part), -np.inf, np.float64)
-            np.maximum.at(worst, text, net.logits(net.inputs(words), codes).astype(np.float64))
-            out.append(1.0 / (1.0 + np.exp(-worst)))
-        return pd.Series(np.concatenate(out))
+        found = shared.value
+        if isinstance(found, float):
+            return pd.Series(np.full(len(texts), found))
+        parts = [pa.array(texts.iloc[at : at + 512], pa.string(), from_pandas=True) for at in range(0, len(texts), 512)]
+        return pd.Series(np.concatenate([np.zeros(0), *map(found.scores, parts)]))
 
     return score
 
