@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from packetloom.plans import entities, streams, traffic, upkeep
+
+MODULES = (traffic, entities, upkeep, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
