@@ -99,16 +99,16 @@ w{n} AS (SELECT doc_id, i, hash(words[i:i + {n - 1}]) AS a, md5(array_to_string(
   FROM (SELECT doc_id, words, unnest(range(1, len(words) - {n} + 2)) AS i FROM texts WHERE len(words) >= {n})),
 r{n} AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b) AS times FROM w{n}) WHERE times > 1),
 c{n} AS (SELECT doc_id, count(*) AS n, sum(length(word)) AS chars FROM (
-    SELECT DISTINCT r.doc_id, r.i + k AS at FROM r{n} r, range(0, {n}) AS s(k)) x
-  JOIN positions p ON p.doc_id = x.doc_id AND p.i = x.at GROUP BY doc_id)""".replace("SELECT doc_id, count(*) AS n, sum(length(word)) AS chars", "SELECT x.doc_id AS doc_id, count(*) AS n, sum(length(word)) AS chars").replace("p.i = x.at GROUP BY doc_id", "p.i = x.at GROUP BY x.doc_id"))
+    SELECT DISTINCT r.doc_id, r.i + k AS place FROM r{n} r, range(0, {n}) AS s(k)) x
+  JOIN positions p ON p.doc_id = x.doc_id AND p.i = x.place GROUP BY doc_id)""".replace("SELECT doc_id, count(*) AS n, sum(length(word)) AS chars", "SELECT x.doc_id AS doc_id, count(*) AS n, sum(length(word)) AS chars").replace("p.i = x.place GROUP BY doc_id", "p.i = x.place GROUP BY x.doc_id"))
     counts = ", ".join(f"coalesce(c{n}.{'n' if n == 3 else 'chars'}, 0)::BIGINT AS {name}" for n, name in grams.items())
     joins = " ".join(f"LEFT JOIN c{n} ON c{n}.doc_id = t.doc_id" for n in grams)
     over = " OR ".join([f"dup_line_chars > {repetition.LINE_LIMIT} * word_chars", *(f"dup_{n}gram_chars > {most} * word_chars" for n, most in repetition.NGRAM_LIMITS.items())])
     return rf"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 positions AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM texts),
-lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY at) AS turn FROM (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS at FROM texts) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+lines AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY place) AS turn FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS place FROM texts) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g'))) AS chars FROM lines WHERE turn > 1 GROUP BY doc_id),
 {",".join(parts)},
 counted AS (SELECT t.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
