@@ -1,9 +1,9 @@
 """Near-duplicate components: MinHash with banding, signature check, exact confirmation and alternating stars.
 
 Equal shingle sets collapse to one representative before anything is compared. A band's bucket is compared with one
-pivot (its smallest member), never pair by pair. Members that the pivots leave in different components are
-compared in further rounds: with new pivots while the pairs left are many, and all of them once they are few, so that
-every pair that shares a bucket is either confirmed, rejected, or already connected.
+pivot (its smallest member), never pair by pair. What the pivots leave in different components is compared in blocks
+inside tasks, by signature and then by sets, and only links leave the tasks; so every pair that shares a bucket is
+confirmed, rejected, or already connected.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -30,8 +30,8 @@ SEED = 11
 STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Ids that may be broadcast: 1,000,000 longs take about 16 MB.
 BROADCAST_IDS = 1_000_000
-#: Pivots for each bucket and round, and rounds, before all pairs left across components are listed.
-PIVOTS, PIVOT_ROUNDS = 8, 6
+#: Members and stragglers of a block, and shingles by which short sets may differ from full ones.
+BLOCK, STRAGGLERS, SLACK = 2048, 512, 2
 
 SETS = "doc_id long, n_shingles long, digest binary, bands array<long>, low_bits binary"
 _SETS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())), ("low_bits", pa.binary())])
@@ -126,28 +126,99 @@ def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((left == right).sum(axis=1).astype("int32"))
 
 
-def links_of(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose documents are linked: by size, by signature, then on their full shingle sets."""
+def likely_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) that sizes and signatures leave possible."""
     small = sets.select("doc_id", "n_shingles", "low_bits")
     one, two = small.toDF("u", "n_u", "low_u"), small.toDF("v", "n_v", "low_v")
     sizes = F.lit(LINK_OF) * F.least("n_u", "n_v") >= F.lit(LINK_AT) * F.greatest("n_u", "n_v")
     likely = pairs.distinct().join(one, "u").join(two, "v").where(sizes).where(agreeing("low_u", "low_v") >= LEAST_AGREEING)
-    likely = written(likely.select("u", "v"), "likely-pairs")
+    return written(likely.select("u", "v"), "likely-pairs")
+
+
+def confirmed(likely: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose full shingle sets are linked."""
     texts = docs.select("doc_id", "text")
     texts = written(only(texts, likely.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "doc_id").distinct(), "likely-texts")
     both = likely.join(texts.toDF("u", "text_u"), "u").join(texts.toDF("v", "text_v"), "v").select("u", "v", "text_u", "text_v")
     return written(both.mapInArrow(_confirmed, "u long, v long").distinct(), "links")
 
 
+SHORT_SETS = "id long, short binary"
+_SHORT_SETS = pa.schema([("id", pa.int64()), ("short", pa.binary())])
+
+
+def _short_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted 32-bit forms of each text's shingles."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            short = [np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in shingle_sets(part.column(1))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(short, pa.binary())], schema=_SHORT_SETS)
+
+
+def compare_block(table: pa.Table) -> pa.Table:
+    """The pairs of a straggler and a member of another component whose short sets are linked, give or take ``SLACK``.
+
+    A pair that shares several bands is looked at in the first of them alone.
+    """
+    low, keys = (np.frombuffer(b"".join(table[c].to_pylist()), kind).reshape(table.num_rows, -1) for c, kind in (("low_bits", np.uint8), ("keys", np.dtype(">i8"))))
+    ids, sizes, parts, straggler = (np.asarray(table[c]) for c in ("id", "n_shingles", "component", "straggler"))
+    short = [np.frombuffer(x, np.uint32) for x in table["short"].to_pylist()]
+    band, others, left, right = int(table["band"][0].as_py()), np.flatnonzero(straggler == 0), [], []
+    for k in np.flatnonzero(straggler == 1).tolist():
+        near = LINK_OF * np.minimum(sizes[others], sizes[k]) >= LINK_AT * np.maximum(sizes[others], sizes[k])
+        near = others[near & (parts[others] != parts[k])]
+        near = near[(low[near] == low[k]).sum(axis=1) >= LEAST_AGREEING]
+        near = near[keys[k][(keys[near] == keys[k]).argmax(axis=1)] == band]
+        if not len(near):
+            continue
+        # All partners at once: where each of their shingles would stand in the straggler's sorted set.
+        own, joined = short[k], np.concatenate([short[n] for n in near])
+        place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+        counts = np.array([len(short[n]) for n in near])
+        same = np.add.reduceat((own[place] == joined).astype(np.int64), np.cumsum(counts) - counts)
+        near = near[LINK_OF * (same + SLACK) >= LINK_AT * (len(own) + counts - same - SLACK)]
+        left += np.minimum(ids[near], ids[k]).tolist()
+        right += np.maximum(ids[near], ids[k]).tolist()
+    return pa.table([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["u", "v"])
+
+
+def across_components(members: DataFrame, component: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Pairs (u, v) of different components within a bucket that are linked but for rounding. None: no bucket is split.
+
+    Members outside a bucket's largest component are stragglers. Blocks of at most about 512 of them meet blocks of about
+    2,048 members inside a task, where sets are compared in arrays; rows grow with members, and only links leave the task.
+    """
+    placed = members.join(component, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    parts = placed.groupBy("band", "component").count()
+    sizes = parts.groupBy("band").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    split = written(placed.join(sizes, "band"), "split-buckets")
+    ids = split.select("id").distinct()
+    if not ids.limit(1).count():
+        return None
+    short = only(docs.select("doc_id", "text"), ids, "doc_id").distinct().mapInArrow(_short_sets, SHORT_SETS)
+    keys = F.unhex(F.array_join(F.transform("bands", lambda b: F.lpad(F.hex(b), 16, "0")), "")).alias("keys")
+    small = sets.select(F.col("doc_id").alias("id"), "n_shingles", "low_bits", keys).dropDuplicates(["id", "low_bits"])
+    split = split.join(written(small.join(short, "id"), "short-sets"), "id")
+    blocks = {"block": F.ceil(F.col("n") / BLOCK).cast("int"), "group": F.ceil((F.col("n") - F.col("most")) / STRAGGLERS).cast("int")}
+    split = split.withColumns(blocks)
+    own = lambda c, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.col(c)).cast("int").alias(c)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias(c)
+    keep = ["band", "id", "component", "n_shingles", "low_bits", "keys", "short"]
+    rows = split.select(*keep, own("block", 1), every("group"), F.lit(0).alias("straggler")).unionAll(
+        split.where("component <> main").select(*keep, every("block"), own("group", 2), F.lit(1).alias("straggler"))
+    )
+    return written(rows.groupBy("band", "block", "group").applyInArrow(compare_block, "u long, v long").distinct(), "across")
+
+
 def connected(edges: DataFrame) -> DataFrame:
-    """(id, component) of every node of the edges (u, v), by alternating large-star and small-star to a fixed point."""
-    edges = written(edges.select("u", "v").where("u <> v").distinct(), "edges")
-    before = None
+    """(id, component) of every node of the edges (u, v), by alternating large-star and small-star until all edges lead to roots."""
+    edges = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
-        state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
-        if state == before:
+        parents = edges.select(F.col("v").alias("u")).distinct()
+        nodes = edges.agg(F.count("*"), F.count_distinct("u")).first()
+        if nodes[0] == nodes[1] and not edges.join(parents, "u", "left_semi").limit(1).count():
             break
-        before = state
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -177,36 +248,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot <> last").drop("last")
     buckets = written(bands.join(shared, "band").distinct(), "buckets")
     small = firsts.select("doc_id", "n_shingles", "low_bits")
-    edges = links_of(buckets.where("id <> pivot").select(F.col("pivot").alias("u"), F.col("id").alias("v")), small, docs)
-    members = buckets.drop("pivot")
-    total = members.count()
+    tried = likely_links(buckets.where("id <> pivot").select(F.least("pivot", "id").alias("u"), F.greatest("pivot", "id").alias("v")), small)
+    edges = confirmed(tried, docs)
     component = connected(edges)
-    for turn in range(PIVOT_ROUNDS + 1):
-        placed = members.join(component, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-        parts = placed.groupBy("band", "component").count()
-        sizes = parts.groupBy("band").agg(F.sum("count").alias("n"), F.max("count").alias("most"), F.max_by("component", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        sizes = written(sizes, "split-buckets")
-        left = sizes.agg(F.sum(F.col("n") * (F.col("n") - F.col("most")))).first()[0] or 0
-        if not left:
-            break
-        split = placed.join(sizes.select("band", "main"), "band")
-        few = split.where("component <> main")
-        if left > 20 * total + 100_000 and turn < PIVOT_ROUNDS:
-            tops = few.groupBy("band", "component").agg(F.min("id").alias("id"))
-            rank = Window.partitionBy("band").orderBy(F.xxhash64("id", F.lit(turn)))
-            few = tops.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= PIVOTS).drop("rank")
-            last = False
-        else:
-            last = True
-        few = few.select("band", F.col("id").alias("one"), F.col("component").alias("its"))
-        pairs = split.select("band", "id", "component").join(few, "band").where("component <> its")
-        pairs = pairs.select(F.least("id", "one").alias("u"), F.greatest("id", "one").alias("v")).distinct()
-        found = links_of(pairs, small, docs)
-        edges = edges.unionAll(found)
-        if found.limit(1).count():
-            component = connected(edges)
-        if last:
-            break
+    likely = across_components(buckets.select("band", "id"), component, firsts, docs)
+    if likely is not None and likely.limit(1).count():
+        component = connected(edges.unionAll(confirmed(likely, docs)))
     named = classes.join(component, classes["class_id"] == component["id"], "left").select("digest", "n_shingles", F.coalesce("component", "class_id").alias("component_id"))
     out = sets.select("doc_id", "n_shingles", "digest").join(named, ["digest", "n_shingles"], "left")
     component_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
