@@ -19,15 +19,34 @@ from pyspark.sql.types import StringType
 
 from packetloom.llm.common import new_table_path, written
 
-RULE_VERSION = "1"
+RULE_VERSION = "2"
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)),
     ("access", re.compile(r"AKIA[A-Z0-9]+")),
     ("hex", re.compile(r"[0-9a-f]{24,}")),
 )
+#: A private key from its BEGIN line through the END line that follows it. Where another line of dashes or the end of the
+#: text comes first, its header lines, long runs of key characters and lines of nothing else belong to it.
+PEM = re.compile(
+    r"""
+    -----BEGIN\ (?:[A-Z]+\ )*PRIVATE\ KEY-----
+    (?:
+        (?:[^-]++|-(?!----))*+ -----END\ (?:[A-Z]+\ )*PRIVATE\ KEY-----
+        |
+        (?:(?:\s|\\[nrt]|["'`>|\#*,\\])++ [A-Za-z][A-Za-z0-9-]*+ : [^\r\n\\]*+)*+
+        (?:
+            (?:\s|\\[nrt]|\+(?=\s)|["'`>|\#*,\\])*+ [A-Za-z0-9+/]{20,}+ ={0,2}+
+            |
+            (?:[ \t\r"'`]|\\r)*+ (?:\n|\\n) (?:[\s"'`>|\#*])*+ [A-Za-z0-9+/]++ ={0,2}+ (?=[\x20\t]*+ (?:[\r\n"'`]|\\[nr]|\Z))
+        )++
+        (?:[\x20\t]++ (?=[A-Za-z]*[0-9+/=]) [A-Za-z0-9+/]++ ={0,2}+)?+
+        |
+    )""",
+    re.VERBOSE,
+)
 #: Kinds that the method adds to the base ones: a text must hold the word in the middle to be searched.
 ADDED = (
-    ("pem", "PRIVATE KEY-----", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")),
+    ("pem", "PRIVATE KEY-----", PEM),
     ("jwt", "eyJ", re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")),
     ("forge", "gh", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}")),
 )

@@ -96,6 +96,30 @@ def test_redact(spark, monkeypatch, most):
     assert got == [(1, "a <secret> b", 12), (2, None, None), (3, "clean", 5), (3, "clean", 5)]
 
 
+@pytest.mark.parametrize("broken", ["\n", "\r\n", "\\n", " ", '\\n" +\n  "', "\n> "])
+@pytest.mark.parametrize("end", [True, False])
+def test_redact_masks_whole_keys(spark, broken, end):
+    rng = random.Random(8)
+    body = ["".join(rng.choice("ABCDxyz0189+/") for _ in range(64)) for _ in range(5)] + ["aB3/" * 4 + "Qw=="]
+    head = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123ABCD", ""] if broken in ("\n", "\r\n") else []
+    key = broken.join(["-----BEGIN RSA PRIVATE KEY-----", *head, *body] + ["-----END RSA PRIVATE KEY-----"] * end)
+    cert = "-----BEGIN CERTIFICATE-----\nMIIBcert\n-----END CERTIFICATE-----"
+    texts = [f"before {key}\nafter the key. {cert}", f"{key}\n\n{key}\n\nplain words end.", "see -----BEGIN PRIVATE KEY----- lines of text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in secret_scan.redact(docs).orderBy("doc_id").collect()]
+    assert not [line for line in body + [x for x in head if x] for text in got if line in text]
+    assert got[0] == f"before <secret>\nafter the key. {cert}"
+    assert got[1] == "<secret>\n\n<secret>\n\nplain words end."
+    assert got[2] == "see <secret> lines of text"
+
+
+def test_short_last_line_of_a_cut_key():
+    key = "-----BEGIN PRIVATE KEY-----\n" + "Ab+/" * 16 + "\nQ1w2"
+    assert secret_scan.scan(f"x {key}\nmore text, plain")[4] == f"pem:2:{2 + len(key)}"
+    many = "-----BEGIN PRIVATE KEY-----\nword " * 5000
+    assert secret_scan.scan(many)[4].count("pem:") == 5000
+
+
 # ---- repetition
 
 
