@@ -22,9 +22,10 @@ Q = 8
 EDIT_RATE = 0.08
 #: Normalized passages under so many characters are not distinctive and are left out.
 MIN_CHARS = 32
-#: Longer passages are searched as pieces, the last one overlapping the one before.
-PIECE_CHARS = 600
-#: Characters of passages in a block: its index takes about 32 MB.
+#: Longer passages are searched as pieces, one every PIECE_STEP characters and one at the end: each stretch of
+#: PIECE_CHARS + PIECE_STEP - 1 characters holds a whole piece.
+PIECE_CHARS, PIECE_STEP = 600, 100
+#: Characters of pieces in a block: its index takes about 32 MB. A passage's pieces stay in one block.
 BLOCK_CHARS = 2_000_000
 TABLE_BITS = 22
 
@@ -71,9 +72,8 @@ class PassageIndex:
             codes = codes[edge[0] : edge[1] + 1]
             if len(codes) < MIN_CHARS:
                 continue
-            cuts = range(0, len(codes), PIECE_CHARS) if len(codes) > PIECE_CHARS else [0]
-            for a in cuts:
-                a = max(0, min(a, len(codes) - PIECE_CHARS))
+            last = max(0, len(codes) - PIECE_CHARS)
+            for a in [*range(0, last, PIECE_STEP), last]:
                 self.item.append(item_id)
                 self.codes.append(codes[a : a + PIECE_CHARS])
         self.edits = np.array([int(EDIT_RATE * len(c)) for c in self.codes], np.int64)
@@ -166,7 +166,9 @@ class PassageIndex:
 def shared_indexes(spark: SparkSession, benchmark: DataFrame) -> list[Broadcast]:
     """The index of each block of passages, broadcast; a block is bounded, and there are as many as the passages need."""
     passages = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") >= MIN_CHARS)
-    chars = passages.agg(F.sum(F.length("text"))).first()[0] or 0
+    size = F.length("text")
+    size = F.when(size > PIECE_CHARS, (F.ceil((size - PIECE_CHARS) / PIECE_STEP) + 1) * PIECE_CHARS).otherwise(size)
+    chars = passages.agg(F.sum(size)).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS)
     found = []
     for block in range(blocks):

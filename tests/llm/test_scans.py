@@ -210,3 +210,18 @@ def test_passage_blocks_and_pieces(spark, monkeypatch):
     docs = docs_of(spark, [f"x {long} y", " ".join(words[210:270]), " ".join(words[90:150]), "none"])
     got = {(r.doc_id, r.item_id) for r in decontamination.find_passages(docs, bench).collect()}
     assert got == {(0, 1), (1, 2)}
+
+
+def test_stretches_of_long_passages(spark):
+    rng = random.Random(5)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(220))
+    index = decontamination.PassageIndex([(1, long)])
+    stretch = 699
+    for a in [*range(0, len(long) - stretch, 37), len(long) - stretch]:
+        got = index.search(f"{long[a:a + 9].upper()}{long[a + 9 : a + stretch]}")
+        assert [x[0] for x in got] == [1] and got[0][3] == 0
+    assert [(x[0], x[3]) for x in index.search(long)] == [(1, 0), (1, 0)]
+    bench = spark.createDataFrame([(1, long)], "item_id long, text string")
+    edited = long[100:500] + "zz" + long[502:800] + long[803:1100]
+    left = decontamination.drop_contaminated(docs_of(spark, [f"x {long[100:1100]} y", edited, "none"]), bench)
+    assert [r.doc_id for r in left.collect()] == [2]
