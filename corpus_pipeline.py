@@ -18,7 +18,20 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number ``row`` of its own for each row, in order of ``doc_id``, null ids last."""
+    order = [F.col("doc_id").asc_nulls_last(), F.col("row")]
+    dealt = docs.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(dealt.withColumn("row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component, that of the smallest id; rows that repeat an id or have none are judged one by one."""
+    if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        rows = numbered(docs)
+        judged = near_dedup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
+        dropped = written(judged.where(~F.col("kept")).select(F.col("doc_id").alias("id")), "near-duplicates")
+        return near_dedup.without(rows, dropped, "row").select(*docs.columns)
     judged = near_dedup.near_duplicates(docs)
     dropped = written(judged.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct(), "near-duplicates")
     return near_dedup.without(docs, dropped, "doc_id")

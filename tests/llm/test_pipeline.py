@@ -57,3 +57,12 @@ def test_run(spark, folder):
     assert len(ids) > 150 and 5102 in ids and 5103 in ids and not ids & {5000, 5001, 5002, 5100}
     assert max(r.offset + r.length for r in rows) <= 4096
     assert re.match("toxicity", corpus_pipeline.STAGES[0][0])
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(3, d), (2, a), (None, b), (1, a), (2, c), (None, a), (1, a), (3, d), (None, b), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a), (None, b), (2, c), (3, d), (4, None)], key=str)
