@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 Q = 8
 #: Edits allowed for each character of a passage.
 EDIT_RATE = 0.08
-#: Normalized passages under so many characters are not distinctive and are left out.
+#: Normalized passages under so many characters are searched for exactly, between borders of words.
 MIN_CHARS = 32
+#: Shorter ones yet are not distinctive and are left out; a character of a script without spaces counts twice.
+LEAST_WEIGHT = 2 * Q
 #: Longer passages are searched as pieces, one every PIECE_STEP characters and one at the end: each stretch of
 #: PIECE_CHARS + PIECE_STEP - 1 characters holds a whole piece.
 PIECE_CHARS, PIECE_STEP = 600, 100
@@ -46,6 +48,11 @@ def normalized(text: str) -> tuple[np.ndarray, np.ndarray]:
     return codes[at], at
 
 
+def unspaced(codes: np.ndarray) -> np.ndarray:
+    """Which code points are of scripts without spaces between words (kana, ideographs and what stands after them)."""
+    return (codes >= 0x2E80) & ~((codes >= 0xAC00) & (codes < 0xD7B0))
+
+
 def qgrams(codes: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each window of Q codes, by doubling."""
     have, n, step = codes.astype(np.uint64) + np.uint64(1), 1, MIX
@@ -70,14 +77,15 @@ class PassageIndex:
             codes = normalized(text)[0]
             edge = np.flatnonzero(codes != 32)[[0, -1]] if (codes != 32).any() else (0, -1)
             codes = codes[edge[0] : edge[1] + 1]
-            if len(codes) < MIN_CHARS:
+            if len(codes) < MIN_CHARS and (len(codes) < Q or len(codes) + unspaced(codes).sum() < LEAST_WEIGHT):
                 continue
             last = max(0, len(codes) - PIECE_CHARS)
             for a in [*range(0, last, PIECE_STEP), last]:
                 self.item.append(item_id)
                 self.codes.append(codes[a : a + PIECE_CHARS])
-        self.edits = np.array([int(EDIT_RATE * len(c)) for c in self.codes], np.int64)
-        self.least = np.array([len(c) - Q + 1 - Q * int(EDIT_RATE * len(c)) for c in self.codes], np.int64)
+        budgets = [int(EDIT_RATE * len(c)) if len(c) >= MIN_CHARS else 0 for c in self.codes]
+        self.edits = np.array(budgets, np.int64)
+        self.least = np.array([len(c) - Q + 1 - Q * e for c, e in zip(self.codes, budgets, strict=True)], np.int64)
         grams = [qgrams(c) for c in self.codes]
         flat = np.concatenate([np.zeros(0, np.uint64), *grams])
         order = np.argsort(flat, kind="stable")
@@ -114,13 +122,23 @@ class PassageIndex:
         low = band * width - PIECE_CHARS
         return list(zip(owner[good].tolist(), low[good].tolist(), (low + 2 * width - 1)[good].tolist(), strict=True))
 
+    @staticmethod
+    def bordered(text: np.ndarray, start: int, end: int) -> bool:
+        """Whether no word goes on over either end of the region."""
+        for at in (start, end):
+            if 0 < at < len(text) and 32 not in text[at - 1 : at + 1] and not unspaced(text[at - 1 : at + 1]).any():
+                return False
+        return True
+
     def align(self, passage: int, text: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
         """(edits, start, end) of the best region for the passage on diagonals low..high, if within its budget."""
         pattern, budget = self.codes[passage], int(self.edits[passage])
         m = len(pattern)
         for d in range(max(low, 0), min(high, len(text) - m) + 1):
-            if text[d] == pattern[0] and np.array_equal(text[d : d + m], pattern):
+            if text[d] == pattern[0] and np.array_equal(text[d : d + m], pattern) and (m >= MIN_CHARS or self.bordered(text, d, d + m)):
                 return 0, d, d + m
+        if m < MIN_CHARS:
+            return None
         low, high = low - budget, high + budget
         width, n = high - low + 1, len(text)
         unit, steps = 1 << 40, np.arange(width, dtype=np.int64) << 40
@@ -149,7 +167,7 @@ class PassageIndex:
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) in the text, best first where regions for one item overlap."""
         codes, at = normalized(text or "")
-        if len(codes) < MIN_CHARS:
+        if len(codes) < Q:
             return []
         hits = []
         for passage, low, high in self.bands(codes):
@@ -165,7 +183,7 @@ class PassageIndex:
 
 def shared_indexes(spark: SparkSession, benchmark: DataFrame) -> list[Broadcast]:
     """The index of each block of passages, broadcast; a block is bounded, and there are as many as the passages need."""
-    passages = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") >= MIN_CHARS)
+    passages = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") >= Q)
     size = F.length("text")
     size = F.when(size > PIECE_CHARS, (F.ceil((size - PIECE_CHARS) / PIECE_STEP) + 1) * PIECE_CHARS).otherwise(size)
     chars = passages.agg(F.sum(size)).first()[0] or 0
@@ -181,8 +199,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Regions of ``docs`` (``doc_id``, ``text``) within the edit budget of a passage of ``benchmark`` (``item_id``, ``text``).
 
     Returns one row for each region: doc_id, item_id, start, end (code points of the text, end exclusive) and edits.
-    Case, punctuation and white space count for nothing. Null or empty texts hold no region; null or short passages are
-    not searched for; equal passages each find their own; repeated documents each have their rows; either table may be
+    Case, punctuation and white space count for nothing. Null or empty texts hold no region; passages
+    under MIN_CHARS are found where they stand exactly, null ones and those under LEAST_WEIGHT are not searched for; equal passages each find their own; repeated documents each have their rows; either table may be
     empty; other columns are not read.
     """
     spark = docs.sparkSession

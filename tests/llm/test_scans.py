@@ -225,3 +225,17 @@ def test_stretches_of_long_passages(spark):
     edited = long[100:500] + "zz" + long[502:800] + long[803:1100]
     left = decontamination.drop_contaminated(docs_of(spark, [f"x {long[100:1100]} y", edited, "none"]), bench)
     assert [r.doc_id for r in left.collect()] == [2]
+
+
+def test_short_passages(spark):
+    items = [(1, "Who wrote Hamlet?"), (2, "東京都の人口は何人ですか"), (3, "What is 2+2?"), (4, "a b c"), (5, "東京都の人口")]
+    texts = ["Q: who  wrote HAMLET -- Bacon", "Who wrote Hamlets", "xwho wrote hamlet", "who wrote a hamlet", "who wrote hamlet", "答えて東京都の人口は何人ですかね", "東京都の人口 what is 2 2 a b c"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.find_passages(docs_of(spark, texts), bench).collect()
+    assert {(r.doc_id, r.item_id, texts[r.doc_id][r.start : r.end], r.edits) for r in got} == {(0, 1, "who  wrote HAMLET", 0), (4, 1, "who wrote hamlet", 0), (5, 2, items[1][1], 0)}
+    both = "xwho wrote hamlet; who wrote hamlet"
+    assert [x[:2] for x in decontamination.PassageIndex(items).search(both)] == [(1, 19)]
+    passage = "the thirty-two folded characters"
+    assert decontamination.PassageIndex([(7, passage)]).search(passage[:-1])
+    left = decontamination.drop_contaminated(docs_of(spark, texts), bench)
+    assert sorted(r.doc_id for r in left.collect()) == [1, 2, 3, 6]
