@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,17 @@ def fold(doc_id, folds: int = 5):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = 256, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of at most ``rows`` rows, cut sooner where the texts of ``column`` reach ``most_bytes``; a longer text stands alone."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        fits = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most_bytes, "right"))
+        end = min(max(fits, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a batch of texts (null: none) as codes into a dictionary.
 
