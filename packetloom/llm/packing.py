@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.bestfit import best_fit_decreasing
-from packetloom.llm.common import written
+from packetloom.llm.common import slices, written
 from packetloom.llm.tokens import default_vocabulary, encoder
 
 CAPACITY = 4096
@@ -33,18 +33,22 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 _PACKED = pa.schema([*_PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64()), ("fill", pa.int64())])
 
 
-def pieces_of(doc_ids: list, encoded: list[bytes], capacity: int) -> pa.Table:
+def piece_bounds(bounds: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each piece of texts with the given bounds in their ids: its text, its number and where its ids start."""
+    counts = -(-np.diff(bounds) // capacity)
+    text = np.repeat(np.arange(len(counts)), counts)
+    piece = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return text, piece, bounds[text] + piece * capacity
+
+
+def pieces_of(doc_ids: pa.Array, ids: np.ndarray, bounds: np.ndarray, capacity: int) -> pa.Table:
     """One row for each piece of each encoded document, in order."""
-    ids, piece, start, length, crc = [], [], [], [], []
-    for doc_id, data in zip(doc_ids, encoded, strict=True):
-        for k in range(0, len(data) // 4, capacity):
-            part = data[4 * k : 4 * (k + capacity)]
-            ids.append(doc_id)
-            piece.append(k // capacity)
-            start.append(k)
-            length.append(len(part) // 4)
-            crc.append(zlib.crc32(part))
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip((ids, piece, start, length, crc), _PIECES, strict=True)], schema=_PIECES)
+    text, piece, first = piece_bounds(bounds, capacity)
+    length = np.minimum(bounds[text + 1] - first, capacity)
+    data = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+    crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+    columns = [doc_ids.take(pa.array(text)), pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(length), pa.array(crc, pa.int64())]
+    return pa.Table.from_arrays(columns, schema=_PIECES)
 
 
 def with_bins(table: pa.Table, bins: np.ndarray, offsets: np.ndarray, fills: np.ndarray, first_bin: int) -> pa.Table:
@@ -66,7 +70,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bin_ = encoder(vocabulary, end_id).encode, TaskContext.get().partitionId() << 36
+        encode, bin_ = encoder(vocabulary, end_id).encode_flat, TaskContext.get().partitionId() << 36
         held: list[pa.Table] = []
         rows = 0
 
@@ -75,9 +79,8 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
             return with_bins(table, *best_fit_decreasing(np.asarray(table["length"]), capacity), bin_)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                held.append(pieces_of(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), capacity))
+            for part in slices(batch, 1, rows=2048):
+                held.append(pieces_of(part.column(0), *encode(part.column(1)), capacity))
                 rows += held[-1].num_rows
                 if rows >= LOCAL_ROWS:
                     yield from _batches(packed())

@@ -91,12 +91,34 @@ def test_token_matrices_round_trip(spark):
         assert resets.tolist() == r.cu_seqlens[:-1]
         for k in range(r.n_segments):
             found.setdefault(r.doc_ids[k], []).append((r.pieces[k], r.starts[k], ids[r.cu_seqlens[k] : r.cu_seqlens[k + 1]].tolist()))
-    for i, t in ROWS:
-        if i != 4:
-            assert sum((x[2] for x in sorted(found[i])), []) == expected_ids(t)
+    whole = sorted((x for i in found for x in texts_of(found[i])), key=str)
+    assert whole == sorted((expected_ids(t) for _, t in ROWS), key=str)
+    assert sorted(i for i in found if i is not None) == [1, 2, 3, 4, 7, 8] and any(len(t) > 20_000 for t in whole)
     assert token_output.digest(token_output.token_matrices(docs.limit(0))).count() == 0
 
 
+def texts_of(pieces):
+    """The texts of one id from their (piece, start, ids): a piece number 0 begins a text; here only the longest has more."""
+    firsts = sorted((p for p in pieces if p[0] == 0), key=lambda p: len(p[2]))
+    rest = sorted(p for p in pieces if p[0])
+    assert [(p, s) for p, s, _ in rest] == [(k + 1, 4096 * (k + 1)) for k in range(len(rest))]
+    out = [p[2] for p in firsts]
+    out[-1] = sum((p[2] for p in rest), out[-1])
+    return out
+
+
+def test_matrices_refuse_wide_ids():
+    with pytest.raises(ValueError):
+        token_output.Pieces().add(pa.array([1]), np.array([70_000], np.uint32), np.array([0, 1]), 4096)
+
+
+def test_long_text_beside_clashing_columns(spark):
+    text = "Étude of 12 things, " * 5000
+    docs = spark.createDataFrame([(5, text, 3, "x")], "doc_id long, text string, n_tokens int, ids string")
+    rows = sorted((p, s, np.frombuffer(r.ids, "<u2")[r.cu_seqlens[k] : r.cu_seqlens[k + 1]].tolist()) for r in token_output.token_matrices(docs).collect() for k, (p, s) in enumerate(zip(r.pieces, r.starts)))
+    assert texts_of(rows) == [expected_ids(text)] and len(rows) > 5
+
+
 @pytest.mark.parametrize("lower", [True, False])
 def test_split_words(lower):
     texts = [None, "", " a  B\tc\n\x0bd\x0ce\r", "É  x y \x1cz", "A" * 100]
