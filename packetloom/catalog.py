@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.plans import entities, streams, traffic, upkeep
+from packetloom.plans import details, entities, streams, tools, traffic, upkeep
 
-MODULES = (traffic, entities, upkeep, streams)
+MODULES = (traffic, entities, details, tools, upkeep, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -157,13 +157,14 @@ def address_label(ip: Column) -> Column:
     return first_match((ip.startswith(p), label(a, c)) for p, a, c in tables.ADDRESS_PREFIXES)
 
 
-def classify_flow(host: Column, port: Column, ip: Column, protocol: Column) -> Column:
+def classify_flow(host: Column, port: Column, ip: Column, protocol: Column, by_host: Column | None = None, by_ip: Column | None = None) -> Column:
     """Struct (app, category, confidence): host name, then port, then address prefix, then protocol.
 
-    A port match is of high confidence if a host name was given, even one that no pattern fits.
+    A port match is of high confidence if a host name was given, even one that no pattern fits. ``by_host`` and
+    ``by_ip`` are the labels of host and address where they are known already.
     """
     named = F.coalesce(host, F.lit("")) != ""
-    by_host, by_port, by_ip = F.when(named, host_label(host)), port_label(port), address_label(ip)
+    by_host, by_port, by_ip = F.when(named, host_label(host) if by_host is None else by_host), port_label(port), address_label(ip) if by_ip is None else by_ip
     web = lambda p, n: (F.coalesce(port, F.lit(0)) == n) | (F.coalesce(protocol, F.lit("")) == p)
     default = F.when(web("HTTPS", 443), label("HTTPS", "Web")).when(web("HTTP", 80), label("HTTP", "Web"))
     default = default.when(F.coalesce(protocol, F.lit("")) != "", F.struct(protocol.alias("app"), F.lit("Network").alias("category")))
@@ -228,10 +229,12 @@ def visible_text(html: Column) -> Column:
 
 def page_features(html: Column) -> dict[str, Column]:
     tag = lambda name: F.regexp_count(html, F.lit(rf"(?i)<{name}\b"))
-    meta = r"""(?is)<meta\b[^>]*name\s*=\s*["']description["'][^>]*content\s*=\s*["'](.*?)["']"""
+    metas = F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), 1)
+    described = F.filter(metas, lambda m: m.rlike(r"""(?is)\bname\s*=\s*["']description["']""") & m.rlike(r"(?is)\bcontent\s*="))
+    content = F.regexp_extract(F.try_element_at(described, F.lit(1)), r"""(?is)\bcontent\s*=\s*(["'])(.*?)\1""", 2)
     return {
         "title": F.nullif(F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit("")),
-        "meta_description": F.nullif(F.regexp_extract(html, meta, 1), F.lit("")),
+        "meta_description": F.nullif(content, F.lit("")),
         "images_count": tag("img"), "links_count": tag("a"), "forms_count": tag("form"), "scripts_count": tag("script"),
     }
 

@@ -58,10 +58,11 @@ def period_change(sessions: DataFrame, period: str, as_of=None) -> DataFrame:
     start = ago(now, PERIODS[period])
     before = ago(start, PERIODS[period])
     current, previous = F.col("start_time").between(start, now), F.col("start_time").between(before, start)
-    sums = []
-    for name, inside in (("current", current), ("previous", previous)):
-        sums += [zero(F.sum(F.when(inside, total_bytes()))).alias(f"{name}_bytes"), F.count_if(inside).alias(f"{name}_sessions"), F.count_distinct(F.when(inside, F.col("src_mac"))).alias(f"{name}_devices")]
-    out = sessions.where(F.col("start_time") >= before).agg(*sums)
+    spans = {"current": current, "previous": previous}
+    per = [x for name, inside in spans.items() for x in (F.sum(F.when(inside, total_bytes())).alias(f"{name}_b"), F.count_if(inside).alias(f"{name}_s"))]
+    by_device = sessions.where(F.col("start_time") >= before).groupBy("src_mac").agg(*per)
+    total = lambda n: [zero(F.sum(f"{n}_b")).cast("long").alias(f"{n}_bytes"), zero(F.sum(f"{n}_s")).alias(f"{n}_sessions"), F.count_if((F.col(f"{n}_s") > 0) & F.col("src_mac").isNotNull()).alias(f"{n}_devices")]
+    out = by_device.agg(*(x for n in spans for x in total(n)))
     return out.withColumns({f"{m}_change": percent_change(F.col(f"current_{m}"), F.col(f"previous_{m}")) for m in ("bytes", "sessions", "devices")})
 
 
@@ -88,9 +89,12 @@ def website_summary(visits: DataFrame) -> DataFrame:
 
 
 def domain_stats(visits: DataFrame, last_category: bool = True) -> DataFrame:
-    """By domain: visits, bytes, devices, and the last (or first) category seen."""
+    """By domain: visits, bytes, duration, devices, and the last (or first) category seen, be it null."""
     pick = F.max_by if last_category else F.min_by
-    return visits.groupBy("domain").agg(F.count("*").alias("visits"), zero(F.sum("bytes_transferred")).alias("bytes"), F.count_distinct("device_mac").alias("devices"), pick("category", F.struct("timestamp", "id")).alias("category"))
+    return visits.groupBy("domain").agg(
+        F.count("*").alias("visits"), zero(F.sum("bytes_transferred")).alias("bytes"), zero(F.sum("duration")).alias("duration"), F.count_distinct("device_mac").alias("devices"),
+        pick("category", F.struct("timestamp", "id")).alias("category"),
+    )
 
 
 def category_stats(visits: DataFrame, null_as: str | None = None) -> DataFrame:
@@ -116,13 +120,24 @@ def talkers(sessions: DataFrame) -> DataFrame:
     return sent.unionAll(received).where("mac is not null").groupBy("mac").agg(zero(F.sum("bytes")).alias("bytes"))
 
 
-def four_ranges(sessions: DataFrame, as_of=None, approximate: bool = False) -> DataFrame:
-    """A row for each of 1h, 24h, 7d and 30d before the present: one scan, each session in the ranges that hold it."""
-    now = present(sessions, "start_time", as_of)
-    ranges = F.array(*(F.when(F.col("start_time") >= ago(now, PERIODS[p]), F.lit(p)) for p in ("1h", "24h", "7d", "30d")))
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    rows = sessions.where(F.col("start_time") >= ago(now, PERIODS["30d"])).withColumn("range", F.explode(F.array_compact(ranges)))
-    return rows.groupBy("range").agg(bytes_sum().alias("bytes"), F.count("*").alias("sessions"), count("src_mac").alias("devices"), count("dst_ip").alias("destinations"))
+def four_ranges(sessions: DataFrame, as_of=None) -> DataFrame:
+    """A row for each of 1h, 24h, 7d and 30d before the present that holds a session.
+
+    All four end now, so a device or destination is in a range just if its latest session is; nothing is expanded.
+    """
+    now, names = present(sessions, "start_time", as_of), ("1h", "24h", "7d", "30d")
+    start = {p: ago(now, PERIODS[p]) for p in names}
+    rows = sessions.where(F.col("start_time") >= start["30d"])
+    inside = lambda p: F.col("start_time") >= start[p]
+    sums = rows.agg(*(x for p in names for x in (zero(F.sum(F.when(inside(p), total_bytes()))).cast("long").alias(f"bytes_{p}"), F.count_if(inside(p)).alias(f"sessions_{p}"))))
+
+    def distinct(column: str, name: str) -> DataFrame:
+        last = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.max("start_time").alias("start_time"))
+        return last.agg(*(F.count_if(inside(p)).alias(f"{name}_{p}") for p in names))
+
+    wide = one_row(sums, distinct("src_mac", "devices"), distinct("dst_ip", "destinations"))
+    made = F.array(*(F.struct(F.lit(p).alias("range"), *(F.col(f"{c}_{p}").alias(c) for c in ("bytes", "sessions", "devices", "destinations"))) for p in names))
+    return wide.select(F.explode(made).alias("x")).select("x.*").where("sessions > 0")
 
 
 def historical(sessions: DataFrame, visits: DataFrame, metric: str, as_of=None) -> DataFrame:
@@ -275,11 +290,11 @@ def sessions_per_user(users: DataFrame, user_sessions: DataFrame) -> DataFrame:
     return users.join(counted, F.col("id") == F.col("uid")).select("id", "username", "sessions", "bytes")
 
 
-def dashboard(devices: DataFrame, sessions: DataFrame, as_of=None) -> DataFrame:
-    """One row: devices, open sessions and bytes of the last hour."""
+def dashboard(devices: DataFrame, sessions: DataFrame, profiles: DataFrame, as_of=None) -> DataFrame:
+    """One row: devices, active profiles, open sessions and bytes of the last hour."""
     now = present(sessions, "start_time", as_of)
     last = F.col("start_time") >= ago(now, "1 hour")
-    return one_row(devices.agg(F.count("*").alias("devices")), sessions.agg(F.count_if(F.col("end_time").isNull()).alias("open_sessions"), zero(F.sum(F.when(last, total_bytes()))).alias("bytes_last_hour")))
+    return one_row(devices.agg(F.count("*").alias("devices")), profiles.agg(F.count_if("is_active").alias("active_profiles")), sessions.agg(F.count_if(F.col("end_time").isNull()).alias("open_sessions"), zero(F.sum(F.when(last, total_bytes()))).alias("bytes_last_hour")))
 
 
 def report_summary(sessions: DataFrame, visits: DataFrame, devices: DataFrame) -> DataFrame:

@@ -20,7 +20,10 @@ def of_users(fact: DataFrame, mac: str, devices: DataFrame, users: Sequence | No
 
 
 def of_device(fact: DataFrame, mac: str, devices: DataFrame, device_id) -> DataFrame:
+    """Rows of one device; an id that no device has is no filter."""
     own = devices.where(F.col("id") == device_id).select(F.col("mac_address").alias("own_mac"))
+    if own.isEmpty():
+        return fact
     return fact.join(own, fact[mac] == own["own_mac"], "left_semi")
 
 
@@ -61,14 +64,29 @@ def open_sessions(sessions: DataFrame) -> DataFrame:
     return sessions.where(F.col("end_time").isNull())
 
 
-def live_filter(df: DataFrame, window: str | None = None, as_of=None, **kinds: Sequence) -> DataFrame:
-    """The live view's filters: any of the values of a kind, all kinds together, within a window of at most 24 hours."""
+def live_filter(
+    df: DataFrame, window: str | None = None, as_of=None, seconds: tuple | None = None, data: tuple | None = None, status: str | None = None, alerted: DataFrame | None = None, **kinds: Sequence
+) -> DataFrame:
+    """The live view's filters: any of the values of a kind, all kinds together, within a window of at most 24 hours.
+
+    ``seconds`` and ``data`` are ranges of duration and bytes, both ends counted; ``status`` is open or closed; ``alerted``
+    holds the ids (session_id) of sessions with an alert.
+    """
     spans = {"15m": "15 minutes", "1h": "1 hour", "2h": "2 hours", "24h": "24 hours"}
     if window == "today":
         until = present(df, "start_time", as_of)
         df = df.where(F.col("start_time") >= F.greatest(F.date_trunc("day", until).cast("timestamp_ntz"), ago(until, "24 hours")))
     elif window is not None:
         df = df.where(F.col("start_time") >= ago(present(df, "start_time", as_of), spans[window]))
+    if seconds is not None:
+        second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+        df = df.where(F.coalesce(second("end_time") - second("start_time"), F.lit(0)).between(*seconds))
+    if data is not None:
+        df = df.where(total_bytes().between(*data))
+    if status is not None:
+        df = df.where(F.col("end_time").isNull() if status == "open" else F.col("end_time").isNotNull())
+    if alerted is not None:
+        df = df.join(alerted, df["id"] == alerted["session_id"], "left_semi")
     for name, values in kinds.items():
         if values:
             df = df.where(F.col(name).isin(list(values)))

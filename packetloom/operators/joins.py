@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.functions.periods import ago
+from packetloom.functions.periods import ago, in_period
+from packetloom.functions.scalars import address_label, classify_flow, host_label, ipv4_number
+from packetloom.operators.blocks import BLOCK_SECONDS, block_of, running
+
+#: Rules of a theta join that may be broadcast; such a join has no other plan, so more of them are an error.
+RULES = 100_000
 
 
 def range_lookup(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, bits: int = 16) -> DataFrame:
@@ -13,7 +18,8 @@ def range_lookup(points: DataFrame, point: str, ranges: DataFrame, low: str, hig
 
     Distinct points are matched, then joined back, so frequent points cost nothing. A range is listed under each block
     of ``2**bits`` it touches at its own level: short ranges by blocks, ranges over many blocks under coarser blocks, so
-    that none is listed more than ``257`` times. Points look under one block of each level. Ranges' other columns are kept.
+    that none is listed more than ``257`` times. Points look under one block of each level that some range is listed
+    at. Ranges' other columns are kept.
     """
     step, levels = 8, (0, 8, 16)
     names = [c for c in ranges.columns]
@@ -25,20 +31,24 @@ def range_lookup(points: DataFrame, point: str, ranges: DataFrame, low: str, hig
     listed = listed.withColumn("block", F.explode(F.sequence(first, last)))
     asked = points.select(F.col(point).alias("asked")).where("asked is not null").distinct()
     asked = asked.withColumn("at", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), block(F.col("asked"), k).alias("block")) for k in levels))))
-    asked = asked.select("asked", "at.level", "at.block")
+    used = F.broadcast(listed.select("level").distinct())  # at most one row for each level
+    asked = asked.select("asked", "at.level", "at.block").join(used, "level", "left_semi")
     hit = asked.join(listed, ["level", "block"]).where(F.col("asked").between(F.col(low), F.col(high)))
     best = hit.groupBy("asked").agg(F.max_by(F.struct(*names), F.struct(F.col(low), -F.col(high))).alias("best"))
     return points.join(best, points[point] == best["asked"], "left").select(points["*"], "best.*")
 
 
-def as_of_join(facts: DataFrame, key: str, ts: str, bindings: DataFrame, value: str, order: str = "id") -> DataFrame:
-    """``facts`` with the ``value`` that ``bindings`` (same key and time columns) last gave the key, at or before each row."""
+def as_of_join(facts: DataFrame, key: str, ts: str, bindings: DataFrame, value: str, order: str = "id", block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """``facts`` with the ``value`` that ``bindings`` (same key and time columns) last gave the key, at or before each row.
+
+    A key's history is cut into blocks of time, so a busy key is no single task.
+    """
     columns = [c for c in facts.columns if c != value]
     mine = facts.select(*columns, F.lit(1).alias("turn"), F.lit(None).cast("string").alias(value))
     theirs = bindings.select(*(F.col(c).cast(facts.schema[c].dataType) if c in (key, ts) else F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in columns), F.lit(0).alias("turn"), F.col(value))
-    seen = Window.partitionBy(key).orderBy(ts, "turn", order, value).rowsBetween(Window.unboundedPreceding, 0)
-    joined = mine.unionByName(theirs).withColumn(value, F.last(value, ignorenulls=True).over(seen))
-    return joined.where("turn = 1").drop("turn")
+    both = mine.unionByName(theirs).withColumn("time_block", block_of(ts, block_seconds))
+    found = running(both, [key], "time_block", [ts, "turn", order, value], value, "last")
+    return found.where("turn = 1").select(*columns, F.col("running").alias(value))
 
 
 def trailing_join(facts: DataFrame, key: str, ts: str, events: DataFrame, event_ts: str, value: str, span_seconds: int, id_: str = "id") -> DataFrame:
@@ -59,8 +69,10 @@ def trailing_join(facts: DataFrame, key: str, ts: str, events: DataFrame, event_
 def ordered_rules(df: DataFrame, text: str, rules: DataFrame, kind: str = "contains", anchored: bool = False) -> DataFrame:
     """The first rule, by ``priority``, whose ``pattern`` fits the text: contains, prefix or regex. Adds ``app`` (null: none).
 
-    Rules are few by nature; distinct texts are matched and joined back. ``anchored`` lets a pattern fit whole labels only.
+    Distinct texts are matched and joined back. ``anchored`` lets a pattern fit whole labels only. At most ``RULES`` rules.
     """
+    if rules.count() > RULES:
+        raise ValueError(f"more than {RULES} rules; split them, or turn prefixes into ranges for range_lookup")
     asked = df.select(F.col(text).alias("asked")).where("asked is not null").distinct()
     low = F.lower("asked")
     fits = {"contains": F.contains(low, F.col("pattern")), "prefix": F.startswith(F.col("asked"), F.col("pattern")), "regex": F.regexp_like(low, F.col("pattern"))}[kind]
@@ -71,6 +83,53 @@ def ordered_rules(df: DataFrame, text: str, rules: DataFrame, kind: str = "conta
     return df.join(best, df[text] == best["asked"], "left").drop("asked")
 
 
+def classify_flows(df: DataFrame, host: str, port: str, ip: str, protocol: str) -> DataFrame:
+    """Adds ``found`` (app, category, confidence) as ``classify_flow`` gives it.
+
+    Host patterns and address prefixes run on distinct hosts and addresses alone, and those that fit are joined back.
+    """
+
+    def labelled(column: str, rule, name: str) -> DataFrame:
+        asked = df.select(F.col(column).alias(f"{name}_key")).where(F.col(f"{name}_key") != "").distinct()
+        return asked.withColumn(name, rule(F.col(f"{name}_key"))).where(F.col(name).isNotNull())
+
+    hosts, addresses = labelled(host, host_label, "by_host"), labelled(ip, address_label, "by_address")
+    out = df.join(hosts, df[host] == hosts["by_host_key"], "left").join(addresses, df[ip] == addresses["by_address_key"], "left")
+    found = classify_flow(F.col(host), F.col(port), F.col(ip), F.col(protocol), F.col("by_host"), F.col("by_address"))
+    return out.withColumn("found", found).drop("by_host_key", "by_host", "by_address_key", "by_address")
+
+
+def typed_rules(df: DataFrame, host: str, root: str, ip: str, rules: DataFrame, fallback: float = 0.2) -> DataFrame:
+    """``rule_cascade`` with the rule types sni (a host name), regex (searched in the host) and cidr (the address's network).
+
+    Exact rules come first (host, root, address, as in the cascade), then regex by the lowest id, then the narrowest
+    network. ``rules``: id, type (domain, sni, ip, regex or cidr), value, category, app, confidence.
+    """
+    exact = rules.withColumn("type", F.when(F.col("type") == "sni", "domain").otherwise(F.col("type"))).where("type in ('domain', 'ip')")
+    out = rule_cascade(df.drop("app", "category", "confidence"), host, root, ip, exact, fallback)
+    kept = [c for c in out.columns if c not in ("app", "category", "confidence")]
+    label = F.struct("category", "app", "confidence").alias("label")
+    patterns = rules.where("type = 'regex'").select(F.col("id").alias("priority"), F.col("value").alias("pattern"), F.to_json(F.struct("category", "app", "confidence")).alias("app"))
+    by_regex = ordered_rules(out.select(F.lower(F.col(host)).alias("regex_host")).distinct(), "regex_host", patterns, "regex").select("regex_host", F.from_json("app", "category string, app string, confidence double").alias("by_regex"))
+    low, high = cidr_ends(F.col("value"))
+    networks = rules.where("type = 'cidr'").select(low.alias("low"), high.alias("high"), "id", label)
+    networks = networks.groupBy("low", "high").agg(F.min_by("label", "id").alias("by_network"))
+    asked = out.select(F.col(ip).alias("asked_ip")).where("asked_ip is not null").distinct().withColumn("asked_number", ipv4_number(F.col("asked_ip")))
+    found = range_lookup(asked, "asked_number", networks, "low", "high").select("asked_ip", "by_network")
+    out = out.join(by_regex, F.lower(out[host]) == by_regex["regex_host"], "left").join(found, F.col(ip) == F.col("asked_ip"), "left")
+    none = F.col("app") == "Unknown"
+    rule = F.coalesce(F.when(~none, label), "by_regex", "by_network", label)
+    return out.withColumn("rule_found", rule).select(*kept, *(F.col("rule_found")[n].alias(n) for n in ("category", "app", "confidence")))
+
+
+def cidr_ends(cidr: Column) -> tuple[Column, Column]:
+    """First and last IPv4 number of a network in ``a.b.c.d/n``; null if it can't be read."""
+    bits = F.try_element_at(F.split(cidr, "/"), F.lit(2)).try_cast("int")
+    size = F.when(bits.between(0, 32), F.pow(F.lit(2.0), F.lit(32) - bits).cast("long"))
+    low = F.floor(ipv4_number(F.substring_index(cidr, "/", 1)) / size).cast("long") * size
+    return low, low + size - 1
+
+
 def rule_cascade(df: DataFrame, host: str, root: str, ip: str, rules: DataFrame, fallback: float = 0.2) -> DataFrame:
     """Category, app and confidence by exact host, then root domain, then address; the lowest rule id wins.
 
@@ -141,17 +200,11 @@ def with_enrichment(sessions: DataFrame, enriched: DataFrame) -> DataFrame:
     return sessions.join(own, sessions["dst_ip"] == own["enriched_ip"], "left").drop("enriched_ip")
 
 
-def unassigned(devices: DataFrame) -> DataFrame:
-    return devices.where(F.col("user_id").isNull())
+def content_of_visits(content: DataFrame, visits: DataFrame, period: str, as_of=None) -> DataFrame:
+    """Page content (``website_visit_id``) of the visits of a period; visits without content have no row."""
+    near = in_period(visits, "timestamp", period, as_of).select(F.col("id").alias("visit_id"))
+    return content.join(near, content["website_visit_id"] == near["visit_id"]).drop("visit_id")
 
 
-def merged_buckets(one: DataFrame, two: DataFrame, key: str, measures: dict[str, str]) -> DataFrame:
-    """Full outer merge on a time key by one grouping: ``measures`` names each measure's side, 'one' or 'two'."""
-    side = lambda df, name: df.select(key, *((F.col(m) if s == name else F.lit(0)).cast("long").alias(m) for m, s in measures.items()))
-    return side(one, "one").unionByName(side(two, "two")).groupBy(key).agg(*(F.sum(m).alias(m) for m in measures))
-
-
-def day_trend(spine: DataFrame, df: DataFrame, ts: str, **sums: Column) -> DataFrame:
-    """Every day of the spine with its sums, zeros where there are no rows."""
-    daily = df.groupBy(F.to_date(ts).alias("day")).agg(*(v.alias(k) for k, v in sums.items()))
-    return spine.join(daily, "day", "left").na.fill(0)
+def unassigned(devices: DataFrame) -> DataFrame:
+    return devices.where(F.col("user_id").isNull())

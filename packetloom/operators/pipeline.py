@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.periods import ago, moment, present
-from packetloom.functions.scalars import is_public, threat_level
+from packetloom.functions.scalars import is_public, threat_level, without_final_dot
+from packetloom.operators.blocks import previous
 from packetloom.operators.filters import display_name, session_columns
 from packetloom.operators.joins import range_lookup, rule_cascade, vendor_lookup, with_devices, with_enrichment
 from packetloom.operators.topk import newest
@@ -55,7 +56,7 @@ def name_bindings(answers: DataFrame) -> DataFrame:
 
     ``answers``: ts, name, addresses array.
     """
-    out = answers.select("ts", F.regexp_replace("name", r"\.+$", "").alias("name"), F.explode("addresses").alias("ip"))
+    out = answers.select("ts", without_final_dot(F.col("name")).alias("name"), F.explode("addresses").alias("ip"))
     return out.where(F.col("ip").rlike(r"^[^.]+(\.[^.]+){3}$"))
 
 
@@ -81,7 +82,7 @@ def alerts(sessions: DataFrame, policies: DataFrame) -> DataFrame:
     ``sessions``: profile, application, start_time, bytes. ``policies``: profile, restricted array, hour_from, hour_to, max_bytes.
     """
     rule = policies.select("profile", "restricted", "hour_from", "hour_to", "max_bytes")
-    seen = sessions.join(F.broadcast(rule), "profile")
+    seen = sessions.join(rule, "profile")
     hour = F.hour("start_time")
     inside = F.when(F.col("hour_from") <= F.col("hour_to"), hour.between(F.col("hour_from"), F.col("hour_to"))).otherwise((hour >= F.col("hour_from")) | (hour <= F.col("hour_to")))
     row = lambda title: [F.lit(title).alias("title"), F.col("application").alias("description"), F.col("start_time").alias("time")]
@@ -158,8 +159,7 @@ def retained(fact: DataFrame, ts: str, days: int = 90, as_of=None) -> DataFrame:
 
 def new_connections(snapshots: DataFrame, at: str, keys: Sequence[str]) -> DataFrame:
     """Connections of each snapshot that the one before it lacks; the first snapshot's are all new."""
-    turns = snapshots.select(at).distinct().select(at, F.lag(at).over(Window.orderBy(at)).alias("before"))
-    mine = snapshots.distinct().join(F.broadcast(turns), at)
+    mine = snapshots.where(F.col(at).isNotNull()).select(at, *keys).distinct().join(previous(snapshots, at), at)
     past = snapshots.select(F.col(at).alias("past_at"), *(F.col(k).alias(f"past_{k}") for k in keys)).distinct()
     same: Column = F.col("before") == F.col("past_at")
     for k in keys:

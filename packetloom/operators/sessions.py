@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.functions.scalars import application_category, device_type_of_address, port_application, visit_url
+from packetloom.functions.scalars import application_category, device_type_of_address, visit_url
+from packetloom.operators.blocks import BLOCK_SECONDS, block_of, running
 
 SESSION_KEY = ("src_mac", "dst_ip", "dst_port", "protocol")
 WEB_PORTS = (80, 443, 8080, 8443)
@@ -20,16 +21,25 @@ def first_of(column: str, ts: str = "ts", id_: str = "id") -> Column:
 def sessionize(packets: DataFrame, idle: str = "90 seconds") -> DataFrame:
     """Sessions of the key (src_mac, dst_ip, dst_port, protocol): a packet joins while the gap is at most ``idle``.
 
-    One aggregation by key and session window; neither packets nor sessions are gathered anywhere. The first packet
-    gives the source address; the first known domain and application name the session; bytes received stay 0.
+    Packets of a key within one slot of ``idle`` are always of one session, so slots are summed first, before the
+    shuffle; session windows then merge slots, and a busy key is as many rows as it has slots. The first packet gives
+    the source address; the first known domain and application name the session; bytes received stay 0.
     """
-    timed = packets.withColumn("at", F.col("ts").cast("timestamp")).where("ts is not null")
     has = set(packets.columns)
-    extra = [first_of(c).alias(c) for c in ("application", "domain") if c in has]
-    firsts = [F.min_by(c, F.struct("ts", "id")).alias(c) for c in ("src_ip", "src_port", "dst_mac") if c in has]
-    grouped = timed.groupBy(*SESSION_KEY, F.session_window("at", idle)).agg(
-        F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.sum("size").alias("bytes_sent"), F.lit(0).cast("long").alias("bytes_received"), F.count("*").alias("packet_count"), *firsts, *extra
+    micros = lambda at: F.unix_micros(at.cast("timestamp"))
+    width = F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {idle}"))
+    extra = {c: F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), F.struct("ts", "id", c)) for c in ("application", "domain") if c in has}
+    firsts = {c: F.struct("ts", "id", c) for c in ("src_ip", "src_port", "dst_mac") if c in has} | extra
+    slots = packets.where("ts is not null").groupBy(*SESSION_KEY, F.floor(micros(F.col("ts")) / width).alias("slot")).agg(
+        F.min("ts").alias("low"), F.max("ts").alias("high"), F.sum("size").alias("bytes"), F.count("*").alias("packets"), *(F.min(v).alias(f"first_{c}") for c, v in firsts.items())
     )
+    slots = slots.withColumn("at", F.col("low").cast("timestamp"))
+    seconds = (micros(F.col("high")) - micros(F.col("low")) + width) / F.lit(1_000_000)
+    gap = F.make_interval(secs=seconds.cast("decimal(18, 6)"))
+    grouped = slots.groupBy(*SESSION_KEY, F.session_window("at", gap)).agg(
+        F.min("low").alias("start_time"), F.max("high").alias("end_time"), F.sum("bytes").alias("bytes_sent"), F.lit(0).cast("long").alias("bytes_received"), F.sum("packets").alias("packet_count"),
+        *(F.min(f"first_{c}")[c].alias(c) for c in firsts),
+    )
     out = grouped.drop("session_window")
     if "application" in has:
         out = out.withColumn("application_category", application_category(F.col("application")))
@@ -89,24 +99,21 @@ def user_sessions(packets: DataFrame) -> DataFrame:
     return totals.join(used, same, "left").drop("u", "m").withColumn("applications_used", F.coalesce("applications_used", F.array().cast("array<string>")))
 
 
-def interval_union(sessions: DataFrame, keys: list[str], start: str = "start_time", end: str = "end_time", gap: str = "5 minutes") -> DataFrame:
-    """Intervals of a key merged while they stand at most ``gap`` apart; duration in seconds, counted once where they overlap."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    closed = sessions.withColumn(end, F.coalesce(end, start))
-    reach = F.max(end).over(before)
-    fresh = F.when(F.col(start) <= reach + F.expr(f"INTERVAL {gap}"), 0).otherwise(1)
-    marked = closed.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = marked.groupBy(*keys, "island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("sessions"))
+def interval_union(sessions: DataFrame, keys: list[str], start: str = "start_time", end: str = "end_time", gap: str = "5 minutes", block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+    """Intervals of a key merged while they stand at most ``gap`` apart; duration in seconds, counted once where they overlap.
+
+    A key's history is cut into blocks of time, so a busy key is no single task. Rows without a start come first.
+    """
+    closed = sessions.withColumn(end, F.coalesce(end, start)).withColumn("time_block", block_of(start, block_seconds))
+    reached = running(closed, keys, "time_block", [start, end], end, "max", through=False)
+    fresh = F.when(F.col(start) <= F.col("running") + F.expr(f"INTERVAL {gap}"), 0).otherwise(1)
+    marked = running(reached.withColumn("fresh", fresh).drop("running"), keys, "time_block", [start, end, F.desc("fresh")], "fresh", "sum")
+    merged = marked.groupBy(*keys, "running").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("sessions"))
     seconds = F.unix_seconds(F.col(end).cast("timestamp")) - F.unix_seconds(F.col(start).cast("timestamp"))
-    return merged.drop("island").withColumn("duration", seconds)
+    return merged.drop("running").withColumn("duration", seconds)
 
 
 def latest(df: DataFrame, keys: list[str], ts: str, tie: str = "id") -> DataFrame:
     """The newest whole row of each key, by one aggregation."""
     best = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(ts, tie)).alias("row"))
     return best.select("row.*")
-
-
-def labelled_packets(packets: DataFrame) -> DataFrame:
-    return packets.withColumn("application", port_application(F.col("dst_port")))

@@ -39,9 +39,11 @@ def website_summary(v: Views):
     return analytics.website_summary(v("visits"))
 
 
-@query(f"select domain, count(*) as visits, {VISIT_BYTES} as bytes, count(distinct device_mac) as devices, max_by(category, struct_pack(t := timestamp, i := id)) as category from visits where category is not null group by domain")
+@query(f"""
+select domain, count(*) as visits, {VISIT_BYTES} as bytes, cast(sum(duration) as bigint) as duration, count(distinct device_mac) as devices,
+  (max_by(struct_pack(c := category), struct_pack(t := timestamp, i := id))).c as category from visits group by domain""")
 def domain_stats(v: Views):
-    return analytics.domain_stats(v("visits").where("category is not null"))
+    return analytics.domain_stats(v("visits"))
 
 
 @query(f"select domain, count(*) as visits, {VISIT_BYTES} as bytes from visits group by domain order by visits desc, domain limit 20")
@@ -259,19 +261,27 @@ _PORTS = ", ".join(f"({p}, '{a}', '{c}')" for p, (a, c) in tables.PORT_LABELS.it
 _HOSTS = _case((f"regexp_matches(host, {_quoted(p)})", f"'{a}|{c}'") for p, a, c in tables.HOST_PATTERNS)
 
 
+_PREFIXES = _case((f"starts_with(ip, '{p}')", f"'{a}'") for p, a, _ in tables.ADDRESS_PREFIXES)
+_PREFIX_LABELS = _case((f"starts_with(ip, '{p}')", f"'{a}|{c}'") for p, a, c in tables.ADDRESS_PREFIXES)
+
+
 @query(f"""
-with hosts as (select id, dst_port, protocol, lower(case id % 5 when 0 then domain when 1 then 'www.youtube.com.' || domain when 2 then 'cdn.reddit.com' when 3 then null else 'ads.doubleclick.net' end) as host from packets),
-ports(port, app, category) as (values {_PORTS}), named as (select *, {_HOSTS} as by_host from hosts)
-select id, coalesce(split_part(by_host, '|', 1), app, protocol) as app, coalesce(split_part(by_host, '|', 2), category, 'Network') as category,
-  case when by_host is not null then 'high' when app is not null then case when host is not null then 'high' else 'medium' end else 'low' end as confidence from named left join ports on port = dst_port""")
+with hosts as (select id, case id % 7 when 0 then 9 when 3 then 443 when 5 then null else dst_port end as dst_port, case id % 11 when 0 then null when 1 then 'HTTPS' when 2 then 'HTTP' else protocol end as protocol,
+  case id % 5 when 0 then domain when 1 then 'WWW.youtube.com.' || domain when 2 then 'cdn.reddit.com' when 3 then null else 'unlisted' || (id % 3) end as host, case id % 3 when 0 then '8.8.8.8' when 1 then '104.' || (id % 40) || '.1.2' else '203.0.113.9' end as ip from packets),
+ports(port, app, category) as (values {_PORTS}), named as (select *, {_HOSTS.replace('host,', 'lower(host),')} as by_host, {_PREFIX_LABELS} as by_ip from hosts),
+labelled as (select *, coalesce(split_part(by_host, '|', 1), app, split_part(by_ip, '|', 1), case when protocol = 'HTTPS' or dst_port = 443 then 'HTTPS' when protocol = 'HTTP' or dst_port = 80 then 'HTTP' else protocol end, 'Unknown') as found,
+  coalesce(split_part(by_host, '|', 2), category, split_part(by_ip, '|', 2), case when protocol in ('HTTPS', 'HTTP') or dst_port in (443, 80) then 'Web' when protocol is not null then 'Network' end, 'Uncategorized') as found_category from named left join ports on port = dst_port)
+select id, found as app, found_category as category, case when by_host is not null then 'high' when app is not null then case when host is not null then 'high' else 'medium' end else 'low' end as confidence from labelled""")
 def flow_classification(v: Views):
     turn = F.col("id") % 5
-    host = F.when(turn == 0, F.col("domain")).when(turn == 1, F.concat(F.lit("www.youtube.com."), "domain")).when(turn == 2, "cdn.reddit.com").when(turn == 4, "ads.doubleclick.net")
-    labelled = v("packets").withColumn("host", host).withColumn("found", scalars.classify_flow(F.col("host"), F.col("dst_port"), F.lit("203.0.113.9"), F.col("protocol")))
-    return labelled.select("id", "found.app", "found.category", "found.confidence")
+    host = F.when(turn == 0, F.col("domain")).when(turn == 1, F.concat(F.lit("WWW.youtube.com."), "domain")).when(turn == 2, "cdn.reddit.com").when(turn == 4, F.concat(F.lit("unlisted"), (F.col("id") % 3).cast("string")))
+    port = F.when(F.col("id") % 7 == 0, 9).when(F.col("id") % 7 == 3, 443).when(F.col("id") % 7 != 5, F.col("dst_port"))
+    protocol = F.when(F.col("id") % 11 == 1, "HTTPS").when(F.col("id") % 11 == 2, "HTTP").when(F.col("id") % 11 != 0, F.col("protocol"))
+    ip = F.when(F.col("id") % 3 == 0, "8.8.8.8").when(F.col("id") % 3 == 1, F.concat(F.lit("104."), (F.col("id") % 40).cast("string"), F.lit(".1.2"))).otherwise("203.0.113.9")
+    rows = v("packets").select("id", host.alias("host"), port.alias("port"), ip.alias("ip"), protocol.alias("protocol"))
+    return joins.classify_flows(rows, "host", "port", "ip", "protocol").select("id", "found.app", "found.category", "found.confidence")
 
 
-_PREFIXES = _case((f"starts_with(ip, '{p}')", f"'{a}'") for p, a, _ in tables.ADDRESS_PREFIXES)
 _IP = "concat(cast(p_partkey % 256 as varchar), '.', cast(p_partkey * 7 % 130 as varchar), '.0.', cast(p_size as varchar))"
 
 
@@ -309,10 +319,15 @@ def enrichment_candidates(v: Views):
     return pipeline.enrichment_candidates(v("packets"), v("enriched"))
 
 
-@query("select dst_ip as ip, case when e.ip_address is null then 0 else 5 end as priority from (select distinct dst_ip from flows) left join (select * from enriched where ip_address < 'dst-5') e on e.ip_address = dst_ip")
+@query("""
+with k as (select ip_address, case when ip_address like 'dst-3%' then null else hostname end as hostname, case when ip_address like 'dst-3%' then null else organization end as organization, ip_address like 'dst-1%' as fresh from enriched where ip_address < 'dst-5')
+select dst_ip as ip, case when k.ip_address is null or (hostname is null and organization is null) then 0 else 5 end as priority from (select distinct dst_ip from flows) left join k on k.ip_address = dst_ip where k.ip_address is null or not fresh""")
 def enrichment_due(v: Views):
-    known = v("enriched").where("ip_address < 'dst-5'").withColumn("updated_at", F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
-    return pipeline.enrichment_due(v("flows").select(F.col("dst_ip").alias("ip")), known, "2000-01-01 00:00:00")
+    bare = F.col("ip_address").startswith("dst-3")
+    known = v("enriched").where("ip_address < 'dst-5'").withColumns({c: F.when(~bare, F.col(c)) for c in ("hostname", "organization")})
+    known = known.withColumn("updated_at", F.when(F.col("ip_address").startswith("dst-1"), F.lit("1999-12-31 12:00:00")).otherwise("1998-01-01 00:00:00").cast("timestamp_ntz"))
+    local = v("nation").select(F.lit("127.0.0.1").alias("ip"))
+    return pipeline.enrichment_due(v("flows").select(F.col("dst_ip").alias("ip")).unionAll(local), known, "2000-01-01 00:00:00")
 
 
 @query("""
@@ -359,28 +374,52 @@ def text_language(v: Views):
 
 @query(r"""
 select page_id, nullif(trim(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')), '') as title, len(regexp_extract_all(html, '(?i)<img\b'))::int as images_count,
-  len(regexp_extract_all(html, '(?i)<a\b'))::int as links_count, len(regexp_extract_all(html, '(?i)<form\b'))::int as forms_count, len(regexp_extract_all(html, '(?i)<script\b'))::int as scripts_count from pages""")
+  len(regexp_extract_all(html, '(?i)<a\b'))::int as links_count, len(regexp_extract_all(html, '(?i)<form\b'))::int as forms_count, len(regexp_extract_all(html, '(?i)<script\b'))::int as scripts_count,
+  case page_id % 3 when 0 then concat('Page ', cast(page_id as varchar)) when 1 then concat('Site ', cast(page_id as varchar)) end as meta_description from pages""")
 def page_features(v: Views):
-    found = scalars.page_features(F.col("html"))
-    return v("pages").select("page_id", *(c.alias(n) for n, c in found.items() if n != "meta_description"))
+    """The pages hold no description, so two of three get one, in either order of its fields."""
+    n = F.col("page_id").cast("string")
+    meta = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<meta name="description" content="Page '), n, F.lit('">'))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("<META content='Site "), n, F.lit("' name='description'/>")))
+    pages = v("pages").withColumn("html", F.concat(F.coalesce(meta, F.lit("")), "html"))
+    return pages.select("page_id", *(c.alias(k) for k, c in scalars.page_features(F.col("html")).items()))
 
 
 @query(r"""
 with bare as (select page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>', ' ', 'gis'), '<style\b.*?</style\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs') as text from pages),
-words as (select page_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as word from bare), counted as (select page_id, word, count(*) as times from words where length(word) > 3 group by all)
+words as (select page_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as word from bare), counted as (select page_id, word, count(*) as times from words where length(word) > 3 group by all)
 select page_id, word, times, cast(place as int) as place from (select *, row_number() over (partition by page_id order by times desc, word) as place from counted) where place <= 10""")
 def page_keywords(v: Views):
     text = F.lower(scalars.visible_text(F.col("html")))
-    words = v("pages").select("page_id", F.explode(F.regexp_extract_all(text, F.lit("([a-z0-9_]+)"), 1)).alias("word")).where(F.length("word") > 3)
+    words = v("pages").select("page_id", F.explode(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), 1)).alias("word")).where(F.length("word") > 3)
     return topk.top_per(words.groupBy("page_id", "word").agg(F.count("*").alias("times")), ["page_id"], "times", 10, ["word"])
 
 
-@query(r"""
-with f as (select len(regexp_extract_all(html, '(?i)<img\b')) as i, len(regexp_extract_all(html, '(?i)<a\b')) as l, len(regexp_extract_all(html, '(?i)<form\b')) as f, len(regexp_extract_all(html, '(?i)<script\b')) as s from pages)
-select count(*) as pages, 0.0::double as average_sentiment, cast(sum(i) as bigint) as images_count, cast(sum(l) as bigint) as links_count, cast(sum(f) as bigint) as forms_count, cast(sum(s) as bigint) as scripts_count from f""")
+_BARE = r"regexp_replace(regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>', ' ', 'gis'), '<style\b.*?</style\s*>', ' ', 'gis'), '<[^>]*>', ' ', 'gs')"
+_CONTENT = rf"""
+bare as (select page_id, html, {_BARE} as text from pages), felt as (select *, {_GOOD} as good, {_BAD} as bad from bare),
+f as (select page_id, case when good + bad > 0 then (good - bad) / cast(good + bad as double) else 0.0 end as sentiment, len(regexp_extract_all(html, '(?i)<img\b')) as i, len(regexp_extract_all(html, '(?i)<a\b')) as l,
+  len(regexp_extract_all(html, '(?i)<form\b')) as f, len(regexp_extract_all(html, '(?i)<script\b')) as s from felt)
+"""
+_CONTENT_SUMS = "count(*) as pages, round(avg(sentiment), 6) as average_sentiment, cast(sum(i) as bigint) as images_count, cast(sum(l) as bigint) as links_count, cast(sum(f) as bigint) as forms_count, cast(sum(s) as bigint) as scripts_count"
+
+
+def page_content(v: Views):
+    counts = {n: c for n, c in scalars.page_features(F.col("html")).items() if n.endswith("_count")}
+    return v("pages").select("page_id", scalars.sentiment(scalars.visible_text(F.col("html"))).alias("sentiment"), *(c.alias(n) for n, c in counts.items()))
+
+
+@query(f"with {_CONTENT} select {_CONTENT_SUMS} from f")
 def content_stats(v: Views):
-    found = {n: c for n, c in scalars.page_features(F.col("html")).items() if n.endswith("_count")}
-    return analytics.content_stats(v("pages").select(F.lit(None).cast("double").alias("sentiment"), *(c.alias(n) for n, c in found.items())))
+    return analytics.content_stats(page_content(v))
+
+
+@query(f"""
+with {_CONTENT}, near as (select page_id from visits where timestamp between (select max(timestamp) from visits) - interval '7' day and (select max(timestamp) from visits) and id % 3 <> 0)
+select {_CONTENT_SUMS} from near join f on f.page_id = near.page_id""")
+def content_of_visits(v: Views):
+    """JN4: the content of analysed visits within a period."""
+    content = v("visits").where("id % 3 <> 0").select(F.col("id").alias("website_visit_id"), "page_id").join(page_content(v), "page_id")
+    return analytics.content_stats(joins.content_of_visits(content, v("visits"), "7d"))
 
 
 @query("""

@@ -24,14 +24,22 @@ def shared(v: Views, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def packet_stream(v: Views) -> DataFrame:
-    """The packets of ``events`` as a stream of files, with a last row far ahead that closes all windows."""
+END = "end of stream"
+
+
+def packet_stream(v: Views) -> tuple[DataFrame, str]:
+    """The packets of ``events`` as a stream of files, with a last row far ahead that closes all windows, and a watermark.
+
+    Files are read in no order of time, so the watermark is longer than the table's span: no row is late.
+    """
     path = shared(v, "packet-files")
     packets = v("packets").withColumn("ts", F.col("ts").cast("timestamp"))
-    ahead = packets.orderBy(F.desc("ts"), F.desc("id")).limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 400 days")).withColumn("src_mac", F.lit("end of stream"))
+    low, high = packets.agg(F.min("ts"), F.max("ts")).first()
+    days = (high - low).days + 2 if low is not None else 2
+    ahead = packets.orderBy(F.desc("ts"), F.desc("id")).limit(1).withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {2 * days + 30} days")).withColumn("src_mac", F.lit(END))
     packets.write.parquet(f"{path}/1")
     ahead.write.parquet(f"{path}/2")
-    return v.spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 64).parquet(f"{path}/*")
+    return v.spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 64).parquet(f"{path}/*"), f"{days} days"
 
 
 def finished(v: Views, stream: DataFrame) -> DataFrame:
@@ -39,7 +47,7 @@ def finished(v: Views, stream: DataFrame) -> DataFrame:
     path = shared(v, "stream-result")
     run = stream.writeStream.outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).format("parquet").start(f"{path}/rows")
     run.awaitTermination()
-    return v.spark.read.schema(stream.schema).parquet(f"{path}/rows").where("src_mac <> 'end of stream'")
+    return v.spark.read.schema(stream.schema).parquet(f"{path}/rows").where(F.col("src_mac") != END if "src_mac" in stream.columns else F.lit(True))
 
 
 @query("""
@@ -47,11 +55,75 @@ with gaps as (select *, case when ts - lag(ts) over (partition by src_mac, dst_i
 numbered as (select *, sum(fresh) over (partition by src_mac, dst_ip, dst_port, protocol order by ts, id rows unbounded preceding) as session from gaps)
 select src_mac, dst_ip, dst_port, protocol, min(ts) as start_time, max(ts) as end_time, cast(sum(size) as bigint) as bytes_sent, count(*) as packet_count, min_by(src_ip, id) as src_ip from numbered group by src_mac, dst_ip, dst_port, protocol, session""")
 def stream_sessions(v: Views):
-    out = finished(v, streams.session_stream(packet_stream(v), "6 hours", "40 days"))
+    packets, late = packet_stream(v)
+    out = finished(v, streams.session_stream(packets, "6 hours", late))
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start_time", "end_time")})
 
 
 @query("select time_bucket(interval '5 minutes', ts) as window_start, src_mac, application, cast(sum(size) as bigint) as bytes, count(*) as packets from packets group by all")
 def stream_rollup(v: Views):
-    out = finished(v, streams.rollup_stream(packet_stream(v), watermark="40 days"))
+    packets, late = packet_stream(v)
+    out = finished(v, streams.rollup_stream(packets, watermark=late))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "src_mac", "application", "bytes", "packets")
+
+
+@query("""
+select time_bucket(interval '1 minute', ts) - k * interval '1 minute' as window_start, src_mac, application, cast(sum(size) as bigint) as bytes, count(*) as packets from packets, range(0, 5) as s(k) group by all""")
+def stream_live(v: Views):
+    """ST3: the trailing five minutes, renewed every minute."""
+    packets, late = packet_stream(v)
+    out = finished(v, streams.live_stream(packets, late))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "src_mac", "application", "bytes", "packets")
+
+
+def hooked(v: Views, stream: DataFrame, hook, mode: str = "append") -> None:
+    writer = stream.writeStream.outputMode(mode).foreachBatch(hook).option("checkpointLocation", shared(v, "hook-checkpoint"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def versions(v: Views, path: str, name: str) -> DataFrame:
+    """The last version of a table that a hook keeps."""
+    rows = v.spark.read.parquet(path)
+    return rows.where(F.col(name) == rows.select(F.max(name)).scalar()).drop(name)
+
+
+@query("select protocol, count(*) as packets, cast(sum(size) as bigint) as bytes from packets group by protocol")
+def stream_counters(v: Views):
+    """ST7: running counters, each batch's state as a version."""
+    path = shared(v, "counters")
+    packets, _ = packet_stream(v)
+    hooked(v, streams.counter_stream(packets.where(F.col("src_mac") != END)), lambda df, n: df.write.mode("overwrite").parquet(f"{path}/version={n}"), "complete")
+    return versions(v, path, "version")
+
+
+@query("select src_mac as mac_address, min(ts) as first_seen, max(ts) as last_seen, max_by(src_ip, struct_pack(t := ts, i := id)) as ip_address from packets group by src_mac")
+def stream_devices(v: Views):
+    """ST8: the device table, merged batch by batch."""
+    path = shared(v, "devices")
+    packets, _ = packet_stream(v)
+    hooked(v, packets.where(F.col("src_mac") != END), streams.device_upsert(path))
+    found = versions(v, path, "version")
+    return found.select("mac_address", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")), "ip_address")
+
+
+@query("""
+with b as (select ts, dst_ip, max(domain) as name from packets where domain is not null group by ts, dst_ip)
+select p.id, b.name from packets p asof left join b on p.dst_ip = b.dst_ip and p.ts >= b.ts""")
+def stream_names(v: Views):
+    """ST4: names kept as state, used on later packets."""
+    packets, _ = packet_stream(v)
+    packets = packets.where(F.col("src_mac") != END)
+    bindings = packets.where("domain is not null").select("ts", F.col("dst_ip").alias("ip"), F.col("domain").alias("name"))
+    return finished(v, streams.named_stream(packets, bindings, None)).select("id", "name")
+
+
+@query("""
+with s as (select distinct date_trunc('day', ts) as taken, src_ip, dst_ip, dst_port from packets), t as (select taken, lag(taken) over (order by taken) as before from (select distinct taken from s))
+select s.taken, s.src_ip, s.dst_ip, s.dst_port from s join t on t.taken = s.taken where not exists (select 1 from s p where p.taken = t.before and p.src_ip = s.src_ip and p.dst_ip = s.dst_ip and p.dst_port = s.dst_port)""")
+def stream_snapshots(v: Views):
+    """ST5: connections that the snapshot before lacked."""
+    path = shared(v, "snapshots")
+    packets, _ = packet_stream(v)
+    rows = packets.where(F.col("src_mac") != END).withColumn("taken", F.date_trunc("day", "ts"))
+    hooked(v, rows, streams.snapshot_changes(path, "taken", ["src_ip", "dst_ip", "dst_port"]))
+    return v.spark.read.parquet(f"{path}/new").select(F.col("taken").cast("timestamp_ntz").alias("taken"), "src_ip", "dst_ip", "dst_port")

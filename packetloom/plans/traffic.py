@@ -52,9 +52,12 @@ def flows_by_tuple(v: Views):
 
 @query("""
 select id as packet_id, src_mac as device_mac, domain, concat(case when dst_port = 443 then 'https://' else 'http://' end, domain) as url, ts as timestamp, size as bytes_transferred,
-  application as category, 'Other' as subcategory from packets where domain is not null and protocol in ('HTTP', 'HTTPS', 'TCP') and dst_port in (80, 443, 8080, 8443)""")
+  app as category, case app when 'Netflix' then 'Entertainment' when 'GitHub' then 'Development' else 'Other' end as subcategory
+from (select *, case id % 4 when 0 then 'Netflix' when 1 then 'GitHub' when 2 then application end as app from packets) where domain is not null and protocol in ('HTTP', 'HTTPS', 'TCP') and dst_port in (80, 443, 8080, 8443)""")
 def website_visits(v: Views):
-    return sessions.website_visits(v("packets"))
+    turn = F.col("id") % 4
+    app = F.when(turn == 0, "Netflix").when(turn == 1, "GitHub").when(turn == 2, F.col("application"))
+    return sessions.website_visits(v("packets").withColumn("application", app))
 
 
 @query("""
@@ -244,9 +247,9 @@ def network_stats(v: Views):
 
 
 @query(f"""
-select (select count(*) from devices) as devices, count(*) filter (end_time is null) as open_sessions, cast(coalesce(sum({TOTAL}) filter (start_time >= {AS_OF} - interval '1' hour), 0) as bigint) as bytes_last_hour from flows""")
+select (select count(*) from devices) as devices, (select count(*) from device_groups where is_active) as active_profiles, count(*) filter (end_time is null) as open_sessions, cast(coalesce(sum({TOTAL}) filter (start_time >= {AS_OF} - interval '1' hour), 0) as bigint) as bytes_last_hour from flows""")
 def dashboard(v: Views):
-    return analytics.dashboard(v("devices"), v("flows"))
+    return analytics.dashboard(v("devices"), v("flows"), v("device_groups"))
 
 
 # ---- time

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom.functions import scalars
+from packetloom.functions import periods, scalars
 from packetloom.operators import analytics, filters, joins, pipeline, sessions, topk
-from packetloom.plans.entities import rule_table
 from packetloom.plans.views import Views, registry
 
 query, QUERIES, ORACLE = registry()
@@ -15,13 +14,18 @@ TOTAL = "(coalesce(bytes_sent, 0) + coalesce(bytes_received, 0))"
 
 
 @query("""
-with labels as (select dst_ip as src_ip, src_ip as dst_ip, dst_port, lower(protocol) as protocol, ts, concat('App', cast(id % 5 as varchar)) as app, id % 10 / 10.0 as confidence from packets where id % 3 = 0),
-last as (select src_ip, dst_ip, dst_port, upper(protocol) as protocol, max_by(struct_pack(a := app, c := confidence), struct_pack(t := ts, a := app)) as l from labels group by all)
-select p.id, l.a as ndpi_app from packets p left join last on last.src_ip = p.dst_ip and last.dst_ip = p.src_ip and last.dst_port = p.dst_port and last.protocol = p.protocol""")
+with own as (select case id % 2 when 0 then dst_ip else src_ip end as a, case id % 2 when 0 then src_ip else dst_ip end as b, dst_port, upper(protocol) as protocol, ts, concat('App', cast(id % 5 as varchar)) as app, concat('Kind', cast(id % 5 as varchar)) as kind, id % 5 / 10.0 as sure from packets where id % 30 = 1 or id % 30 = 10),
+two_ways as (select * from own union all select b, a, dst_port, protocol, ts, app, kind, sure from own),
+last as (select a, b, dst_port, protocol, max_by(struct_pack(a := app, k := kind, c := sure), struct_pack(t := ts, a := app)) as l from two_ways group by all)
+select p.id, l.a as ndpi_app, l.k as ndpi_category, cast(l.c as double) as ndpi_confidence from packets p left join last on last.a = p.src_ip and last.b = p.dst_ip and last.dst_port = p.dst_port and last.protocol = p.protocol""")
 def flow_labels(v: Views):
-    third = v("packets").where("id % 3 = 0")
-    labels = third.select(F.col("dst_ip").alias("src_ip"), F.col("src_ip").alias("dst_ip"), "dst_port", F.lower("protocol").alias("protocol"), "ts", F.concat(F.lit("App"), (F.col("id") % 5).cast("string")).alias("app"), F.lit("any").alias("category"), (F.col("id") % 10 / 10).alias("confidence"))
-    return joins.flow_labels(v("packets"), labels).select("id", "ndpi_app")
+    some = v("packets").where("id % 30 = 1 or id % 30 = 10")
+    even, kind = F.col("id") % 2 == 0, (F.col("id") % 5).cast("string")
+    labels = some.select(
+        F.when(even, F.col("dst_ip")).otherwise(F.col("src_ip")).alias("src_ip"), F.when(even, F.col("src_ip")).otherwise(F.col("dst_ip")).alias("dst_ip"), "dst_port", F.lower("protocol").alias("protocol"), "ts",
+        F.concat(F.lit("App"), kind).alias("app"), F.concat(F.lit("Kind"), kind).alias("category"), (F.col("id") % 5 / 10).alias("confidence"),
+    )
+    return joins.flow_labels(v("packets"), labels).select("id", "ndpi_app", "ndpi_category", "ndpi_confidence")
 
 
 @query("""
@@ -37,24 +41,41 @@ def vendor_lookup(v: Views):
 
 
 @query("""
-with p as (select page_id, page_id % 4 as turn, regexp_extract(url, '^https?://([^/:?#]+)', 1) as host from pages)
-select page_id, case turn when 0 then 'HTTP' when 1 then 'SMTP' when 2 then 'HTTPS' else 'DNS' end as app, case turn when 0 then 0.95::double when 1 then 0.9 when 2 then 0.95 else 0.8 end as confidence,
-  turn = 2 as encrypted, case when turn = 0 then host end as host from p""")
+with p as (select page_id, page_id % 10 as turn, regexp_extract(url, '^https?://([^/:?#]+)', 1) as host from pages)
+select page_id, case turn when 0 then 'HTTP' when 1 then 'SMTP' when 2 then 'HTTPS' when 3 then 'DNS' when 4 then 'SSH' when 5 then 'YOUTUBE' when 6 then 'MySQL' when 8 then 'FTP' when 9 then 'HTTP' else 'Unknown' end as app,
+  case turn when 0 then 0.95::double when 1 then 0.9 when 2 then 0.95 when 3 then 0.8 when 4 then 0.9 when 5 then 0.9 when 6 then 0.7 when 8 then 0.9 when 9 then 0.95 else 0.0 end as confidence,
+  turn in (2, 4) as encrypted, case when turn in (0, 9) then host end as host, case turn when 0 then 'GET' when 9 then 'POST' end as method, case turn when 0 then '/x' when 9 then concat('/', host) end as url, case turn when 9 then 'agent 1' end as user_agent from p""")
 def payload_labels(v: Views):
-    turn = F.col("page_id") % 4
+    turn = F.col("page_id") % 10
     host = F.regexp_extract("url", "^https?://([^/:?#]+)", 1)
-    payload = F.when(turn == 0, F.concat(F.lit("GET /x HTTP/1.1\r\nHost: "), host, F.lit("\r\nAccept: *\r\n"))).when(turn == 1, "220 ready").when(turn == 2, "\x16\x03\x01")
-    rows = v("pages").select("page_id", payload.alias("payload"), F.when(turn == 3, "UDP").otherwise("TCP").alias("protocol"), F.when(turn == 3, 53).otherwise(9).alias("port"))
+    get = F.concat(F.lit("GET /x HTTP/1.1\r\nHost: "), host, F.lit("\r\nAccept: *\r\n"))
+    post = F.concat(F.lit("POST /"), host, F.lit(" HTTP/1.1\r\nUser-Agent: agent 1\r\nHost:  "), host, F.lit("\r\n"))
+    payload = F.when(turn == 0, get).when(turn == 1, "220 ready").when(turn == 2, "\x16\x03\x01").when(turn == 3, "GET not for UDP").when(turn == 4, "SSH-2.0-x").when(turn == 5, "a youtube.com b").when(turn == 8, "USER bob").when(turn == 9, post)
+    rows = v("pages").select("page_id", payload.alias("payload"), F.when(turn.isin(3, 7), "UDP").otherwise("TCP").alias("protocol"), F.when(turn == 3, 53).when(turn == 6, 3306).otherwise(9).alias("port"))
     rows = rows.withColumn("found", scalars.payload_label(F.col("payload"), F.col("protocol"), F.col("port")))
-    return rows.select("page_id", "found.app", "found.confidence", "found.encrypted", scalars.http_fields(F.col("payload"))["host"].alias("host"))
+    fields = scalars.http_fields(F.when(turn.isin(0, 9), F.col("payload")))
+    return rows.select("page_id", "found.app", "found.confidence", "found.encrypted", *(fields[n].alias(n) for n in ("host", "method", "url", "user_agent")))
+
+
+_EXACT, _OWN = "e.hostname is not null and cast(substr(f.dst_ip, 5) as bigint) % 10 = 2", "e.hostname is null and cast(substr(f.dst_ip, 5) as bigint) % 10 = 1"
+
+
+def _pick(exact: str, root: str, own: str, none: str) -> str:
+    return f"case when {_EXACT} then '{exact}' when e.hostname is not null then '{root}' when {_OWN} then '{own}' else '{none}' end"
 
 
 @query(f"""
 with few as (select * from flows order by start_time desc, id desc limit 200)
-select f.id, coalesce(d.hostname, f.src_ip) as device, e.hostname, {TOTAL} as total_bytes, coalesce(f.end_time, f.start_time) >= (select max(start_time) from flows) - interval '90' second as is_active, 'Uncategorized' as category, 'Unknown' as app
+select f.id, coalesce(d.hostname, f.src_ip) as device, e.hostname, {TOTAL} as total_bytes, coalesce(f.end_time, f.start_time) >= (select max(start_time) from flows) - interval '90' second as is_active,
+  {_pick('Work', 'Web', 'Net', 'Uncategorized')} as category, {_pick('Exact', 'Root', 'Address', 'Unknown')} as app
 from few f left join devices d on d.mac_address = f.src_mac left join enriched e on e.ip_address = f.dst_ip""")
 def live_table(v: Views):
-    return pipeline.live_table(v("flows").drop("application"), v("devices"), v("enriched"), rule_table(v)).select("id", "device", "hostname", "total_bytes", "is_active", "category", "app")
+    part = v("part").withColumn("turn", F.col("p_partkey") % 10)
+    rule = lambda kind, value, category, app: [F.col("p_partkey").alias("id"), F.lit(kind).alias("type"), value.alias("value"), F.lit(category).alias("category"), F.lit(app).alias("app"), F.lit(0.9).alias("confidence")]
+    exact = v("enriched").where("cast(substr(ip_address, 5) as bigint) % 10 = 2").select(F.lit(1).cast("long").alias("p_partkey"), F.lower("hostname").alias("value")).select(*rule("domain", F.col("value"), "Work", "Exact"))
+    own = part.where("turn = 1").select(*rule("ip", F.concat(F.lit("dst-"), F.col("p_partkey").cast("string")), "Net", "Address"))
+    root = part.where("p_partkey = 5").select(*rule("domain", F.lit("example.org"), "Web", "Root"))
+    return pipeline.live_table(v("flows").drop("application"), v("devices"), v("enriched"), exact.unionAll(own).unionAll(root)).select("id", "device", "hostname", "total_bytes", "is_active", "category", "app")
 
 
 PROFILE_SESSIONS = f"""
@@ -121,10 +142,11 @@ def enrichment_merge(v: Views):
 
 
 @query("""
-with x as (select domain, min_by(category, struct_pack(t := timestamp, i := id)) as category, count(*) as visits, cast(sum(bytes_transferred) as bigint) as bytes, count(distinct device_mac) as devices from visits where category is not null group by domain)
-select domain, visits, bytes, devices, category from x order by bytes desc, domain limit 50""")
+select domain, count(*) as visits, cast(sum(bytes_transferred) as bigint) as bytes, cast(sum(duration) as bigint) as duration, count(distinct device_mac) as devices, (min_by(struct_pack(c := category), struct_pack(t := timestamp, i := id))).c as category
+from visits where timestamp >= (select max(timestamp) from visits) - interval '240' hour group by domain""")
 def domains_first_category(v: Views):
-    return topk.top(analytics.domain_stats(v("visits").where("category is not null"), last_category=False), "bytes", 50, ["domain"])
+    """AG21: every domain of the trailing hours; who shows them orders by bytes and domain."""
+    return analytics.domain_stats(periods.trailing_hours(v("visits"), "timestamp", 240), last_category=False)
 
 
 @query("""

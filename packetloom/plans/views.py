@@ -20,14 +20,14 @@ select event_id as id, ts, user_id, concat('dev-', cast(user_id % 20 as varchar(
   case event_type when 'click' then 'Web' when 'view' then 'Web' when 'purchase' then 'Web' when 'signup' then 'DNS' else 'SSH' end as application
 from {events}""",
     "visits": """
-select e.event_id as id, concat('dev-', cast(e.user_id % 20 as varchar(9))) as device_mac, e.ts as timestamp, cast(round(e.value * 100) as bigint) as bytes_transferred, p.url,
+select e.event_id as id, concat('dev-', cast(e.user_id % 20 as varchar(9))) as device_mac, e.ts as timestamp, cast(round(e.value * 100) as bigint) as bytes_transferred, p.page_id, p.url,
   regexp_extract(p.url, '^https?://([^/:?#]+)', 1) as domain, cast(e.event_id % 97 as bigint) as duration,
   case e.event_id % 4 when 1 then 'News' when 2 then 'Shop' when 3 then 'Work' end as category
-from {events} e join {pages} p on p.page_id = e.event_id % 50 where e.event_type in ('view', 'click')""",
+from (select *, event_id % (select count(*) from {pages}) as page_key from {events}) e join {pages} p on p.page_id = e.page_key where e.event_type in ('view', 'click')""",
     "flows": """
 select (l_orderkey * 10 + l_linenumber) * 1000000000 + l_suppkey * 100000 + l_partkey as id, concat('dev-', cast(l_suppkey as varchar(12))) as src_mac,
-  concat('dev-', cast((l_suppkey * 7) % 50 as varchar(12))) as dst_mac, concat('10.1.', cast(l_suppkey % 9 as varchar(12)), '.', cast(l_partkey % 97 as varchar(12))) as src_ip,
-  concat('dst-', cast(l_partkey % 97 as varchar(12))) as dst_ip, case l_linenumber % 4 when 0 then 443 when 1 then 80 when 2 then 22 else 5432 end as dst_port, l_shipdate as start_time,
+  concat('dev-', cast((l_suppkey * 7) % 50 as varchar(12))) as dst_mac, concat('10.1.', cast(l_suppkey % 9 as varchar(12)), '.', cast(l_partkey % 250 as varchar(12))) as src_ip,
+  concat('dst-', cast(l_partkey as varchar(12))) as dst_ip, case l_linenumber % 4 when 0 then 443 when 1 then 80 when 2 then 22 else 5432 end as dst_port, l_shipdate as start_time,
   case when l_linenumber % 3 = 0 then null else l_shipdate + interval '1' minute * cast(l_quantity as int) end as end_time,
   cast(round(l_extendedprice * 100) as bigint) as bytes_sent, cast(round(l_quantity * 100) as bigint) as bytes_received,
   case when l_orderkey % 11 = 0 then null else p_brand end as application, l_returnflag as protocol
@@ -44,9 +44,9 @@ from {nation} join {region} on n_regionkey = r_regionkey""",
     "device_groups": "select cast(r_regionkey as bigint) as id, r_name as name, r_regionkey <> 4 as is_active from {region}",
     "members": "select cast(s_suppkey % 4 as bigint) as group_id, s_suppkey as device_id, s_suppkey % 3 as profile_id, s_acctbal as added_at from {supplier} where s_suppkey % 9 <> 0",
     "enriched": """
-select distinct concat('dst-', cast(p_partkey % 97 as varchar(12))) as ip_address, concat('Host', cast(p_partkey % 97 as varchar(12)), case p_partkey % 97 % 3 when 0 then '.botnet' else '.shop' end, '.example.org') as hostname,
-  case p_partkey % 97 % 5 when 0 then 'Fast VPN Ltd' when 1 then null else 'Carrier' end as organization
-from {part} where p_partkey % 97 % 2 = 0""",
+select concat('dst-', cast(p_partkey as varchar(12))) as ip_address, concat('Host', cast(p_partkey as varchar(12)), case p_partkey % 3 when 0 then '.botnet' else '.shop' end, '.example.org') as hostname,
+  case p_partkey % 5 when 0 then 'Fast VPN Ltd' when 1 then null else 'Carrier' end as organization
+from {part} where p_partkey % 2 = 0""",
     "networks": "select p_partkey * 1000 as range_start, p_partkey * 1000 + 699 as range_end, cast(64500 + p_partkey % 100 as bigint) as range_asn, p_brand as range_name from {part}",
 }
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from packetloom.operators.pipeline import new_connections
-from packetloom.operators.sessions import SESSION_KEY, discover_devices, merge_devices
+from packetloom.operators.sessions import SESSION_KEY, discover_devices, merge_devices, sessionize
+from packetloom.operators.topk import newest
 
 
 def timed(packets: DataFrame, watermark: str) -> DataFrame:
@@ -86,6 +87,15 @@ def each_batch(stream: DataFrame, hook: Callable[[DataFrame, int], None], checkp
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def session_log(folder: str, k: int = 50) -> Callable[[DataFrame, int], None]:
+    """A hook that writes the newest ``k`` sessions of each batch of packets; a batch that runs again replaces its own."""
+
+    def log(batch: DataFrame, number: int) -> None:
+        newest(sessionize(batch), "start_time", k, list(SESSION_KEY)).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return log
+
+
 def device_upsert(folder: str) -> Callable[[DataFrame, int], None]:
     """A hook that keeps the device table: each batch writes the merged table as a new version named by the batch.
 

@@ -172,6 +172,74 @@ def test_filters_and_merge(spark):
     assert sorted(str(r.ndpi_app) for r in joins.flow_labels(flows, labels).collect()) == ["App", "None"]
 
 
+def test_blocks_of_time_change_nothing(spark):
+    rng = random.Random(4)
+    at = lambda s: T0 + timedelta(seconds=s)
+    facts = [(k, rng.choice(["a", "a", "b", None]), at(rng.randrange(9000))) for k in range(200)] + [(900, "a", None)]
+    bound = [(rng.choice(["a", "b", None]), at(rng.randrange(9000)), f"n{k}") for k in range(60)]
+    one, two = spark.createDataFrame(facts, "id long, ip string, ts timestamp_ntz"), spark.createDataFrame(bound, "ip string, ts timestamp_ntz, name string")
+    want = {}
+    for k, ip, ts in facts:
+        seen = [(t, n) for i, t, n in bound if i == ip and ts is not None and t <= ts]
+        want[k] = max(seen)[1] if seen else None
+    for seconds in (60, 3600, 10**6):
+        assert {r.id: r.name for r in joins.as_of_join(one, "ip", "ts", two, "name", block_seconds=seconds).collect()} == want
+    rows = [(rng.choice("xy"), s := rng.randrange(200_000), s + rng.choice([0, 10, 400, 9000])) for _ in range(250)]
+    frame = spark.createDataFrame([(k, at(a), at(b)) for k, a, b in rows], "k string, start_time timestamp_ntz, end_time timestamp_ntz")
+    want = []
+    for key in "xy":
+        island = None
+        for a, b in sorted((a, b) for k, a, b in rows if k == key):
+            if island and a <= island[1] + 300:
+                island = [island[0], max(island[1], b), island[2] + 1]
+            else:
+                want += [(key, *island)] if island else []
+                island = [a, b, 1]
+        want.append((key, *island))
+    for seconds in (600, 3600, 10**7):
+        got = sessions.interval_union(frame, ["k"], block_seconds=seconds).collect()
+        assert sorted((r.k, r.start_time, r.end_time, r.sessions) for r in got) == sorted((k, at(a), at(b), n) for k, a, b, n in want)
+
+
+def test_sessions_at_slot_borders(spark):
+    rows = [packet(1, 0), packet(2, 89), packet(3, 179), packet(4, 269), packet(5, 360), packet(6, 450, src_ip="10.0.0.9", domain="x.org"), packet(7, 541, domain="")]
+    packets = spark.createDataFrame(rows, PACKET)
+    got = sorted((r.start_time, r.end_time, r.packet_count, r.src_ip, r.domain) for r in sessions.sessionize(packets).collect())
+    at = lambda s: T0 + timedelta(seconds=s)
+    assert got == [(at(0), at(269), 4, "10.0.0.2", None), (at(360), at(450), 2, "10.0.0.2", "x.org"), (at(541), at(541), 1, "10.0.0.2", None)]
+    rng = random.Random(8)
+    packets = spark.createDataFrame([packet(k, rng.randrange(40_000), dst_port=rng.choice([80, 443]), size=k) for k in range(400)], PACKET)
+    marked = sessions.sessionize_by_gaps(packets).groupBy("dst_port", "session").agg(F.min("ts"), F.max("ts"), F.sum("size"), F.count("*")).drop("session")
+    assert sorted(map(tuple, sessions.sessionize(packets).select("dst_port", "start_time", "end_time", "bytes_sent", "packet_count").collect())) == sorted(map(tuple, marked.collect()))
+
+
+def test_new_connections_over_gaps(spark):
+    rows = [(T0, "a"), (T0, "b"), (T0 + timedelta(seconds=2), "a"), (T0 + timedelta(hours=5), "a"), (T0 + timedelta(hours=5), "b"), (T0 + timedelta(hours=5, seconds=2), None), (T0 + timedelta(hours=5, seconds=4), None), (None, "z")]
+    got = pipeline.new_connections(spark.createDataFrame(rows, "at timestamp_ntz, ip string"), "at", ["ip"]).collect()
+    assert sorted(((r["at"] - T0).total_seconds(), r.ip) for r in got if r.ip) == [(0, "a"), (0, "b"), (18000, "b")] and [r["at"] for r in got if r.ip is None] == [T0 + timedelta(hours=5, seconds=2)]
+
+
+def test_typed_rules_and_limits(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "a.example.com", "example.com", "10.0.0.1"), (2, None, None, "10.0.0.1"), (3, "b.net", "b.net", "10.9.0.1"), (4, "c.net", "c.net", None)], "id long, domain string, root string, dst_ip string")
+    rules = spark.createDataFrame([(1, "sni", "a.example.com", "C", "Exact", 1.0), (2, "regex", r"\.net$", "C", "Net", 0.5), (3, "cidr", "10.0.0.0/8", "C", "Wide", 0.4), (4, "cidr", "10.0.0.0/24", "C", "Narrow", 0.4)], "id long, type string, value string, category string, app string, confidence double")
+    assert {r.id: r.app for r in joins.typed_rules(rows, "domain", "root", "dst_ip", rules).collect()} == {1: "Exact", 2: "Narrow", 3: "Net", 4: "Net"}
+    monkeypatch.setattr(joins, "RULES", 1)
+    with pytest.raises(ValueError):
+        joins.ordered_rules(rows, "domain", rules.select("id", F.col("id").alias("priority"), F.col("value").alias("pattern"), "app"))
+
+
+def test_facts_by_batch_and_day(spark, tmp_path):
+    rows = spark.createDataFrame([(1, T0), (2, T0 + timedelta(days=2))], "id long, start_time timestamp_ntz")
+    for _ in range(2):  # the same batch runs twice
+        sinks.append_fact(rows, f"{tmp_path}/fact", "start_time", batch=3)
+    sinks.append_fact(rows.where("id = 2").withColumn("id", F.lit(9).cast("long")), f"{tmp_path}/fact", "start_time", batch=4)
+    read = lambda: sorted(r.id for r in spark.read.parquet(f"{tmp_path}/fact").collect())
+    assert read() == [1, 2, 9]
+    assert len(sinks.drop_expired(spark, f"{tmp_path}/fact", 1, (T0 + timedelta(days=2)).date())) == 1 and read() == [2, 9]
+    people = spark.createDataFrame([(1, "ann", "secret")], "id long, username string, password string")
+    assert sinks.entity_rows(people, "users").columns == ["id", "username"]
+
+
 # ---- streams
 
 
