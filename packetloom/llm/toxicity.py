@@ -54,6 +54,7 @@ def summed_rows(index: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
     """The sums of the rows of ``values`` by ``index``."""
     out = np.zeros((rows, values.shape[1]), values.dtype)
     if len(index):
+        index = index.astype(np.uint16) if rows <= 1 << 16 else index  # sorted by radix
         order = np.argsort(index, kind="stable")
         index = index[order]
         starts = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
@@ -108,8 +109,14 @@ class Network:
             self.p |= {f"W{d}": small(2 * WIDTH, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32), f"U{d}": small(HIDDEN, 3 * HIDDEN)}
 
     def inputs(self, words: Vocabulary) -> np.ndarray:
-        grams = np.add.reduceat(self.p["gram"][words.grams], words.starts, axis=0) / np.sqrt(words.counts)[:, None] if len(words.words) else np.zeros((0, WIDTH), np.float32)
-        return np.concatenate([self.p["word"][words.words], grams], axis=1)
+        out = np.zeros((len(words.words), 2 * WIDTH), self.p["word"].dtype)
+        out[:, :WIDTH] = self.p["word"][words.words]
+        ends = np.append(words.starts, len(words.grams)).astype(np.int64)
+        for at in range(0, len(out), 1 << 14):
+            to = min(at + (1 << 14), len(out))
+            rows = self.p["gram"][words.grams[ends[at] : ends[to]]]
+            out[at:to, WIDTH:] = np.add.reduceat(rows, words.starts[at:to] - ends[at], axis=0) / np.sqrt(words.counts[at:to])[:, None]
+        return out
 
     def projected(self, inputs: np.ndarray, d: str) -> np.ndarray:
         out = inputs @ self.p[f"W{d}"] + self.p[f"c{d}"]
@@ -392,7 +399,7 @@ def scorer(docs: DataFrame, labels: DataFrame):
         if isinstance(found, float):
             return pd.Series(np.full(len(texts), found))
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
-        return pd.Series(np.concatenate([np.zeros(0), *(found.scores(part.column(0)) for part in slices(batch, 0, rows=512))]))
+        return pd.Series(np.concatenate([np.zeros(0), *(found.scores(part.column(0)) for part in slices(batch, 0, 512, 2 << 20))]))
 
     return score
 
