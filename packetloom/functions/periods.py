@@ -32,8 +32,10 @@ def in_period(df: DataFrame, ts: str, period: str = DEFAULT, as_of=None, start=N
     return df.where(F.col(ts).between(ago(until, PERIODS.get(period, PERIODS[DEFAULT])), until))
 
 
-def since(df: DataFrame, ts: str, period: str = DEFAULT, as_of=None) -> DataFrame:
-    """Rows from the start of a period on: a name, an ISO date or time (``Z`` allowed), else 24 hours."""
+def since(df: DataFrame, ts: str, period: str = DEFAULT, as_of=None, end=None) -> DataFrame:
+    """Rows from the start of a period on: a name, an ISO date or time (``Z`` allowed), else 24 hours; up to ``end``, if given."""
+    if end is not None:
+        return since(df.where(F.col(ts) <= F.lit(end).try_cast("timestamp").cast("timestamp_ntz")), ts, period, as_of)
     until = present(df, ts, as_of)
     if period in PERIODS:
         return df.where(F.col(ts) >= ago(until, PERIODS[period]))

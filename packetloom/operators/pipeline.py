@@ -11,7 +11,7 @@ from packetloom.functions.periods import ago, moment, present
 from packetloom.functions.scalars import is_public, threat_level, without_final_dot
 from packetloom.operators.blocks import previous
 from packetloom.operators.filters import display_name, session_columns
-from packetloom.operators.joins import range_lookup, rule_cascade, vendor_lookup, with_devices, with_enrichment
+from packetloom.operators.joins import classify_flows, flow_labels, range_lookup, rule_cascade, vendor_lookup, with_devices, with_enrichment
 from packetloom.operators.topk import newest
 
 
@@ -68,11 +68,18 @@ def backfill_vendors(devices: DataFrame, oui: DataFrame) -> DataFrame:
     return found.where(weak & (F.col("vendor") != F.coalesce("old_vendor", F.lit("")))).select("mac_address", "old_vendor", F.col("vendor").alias("new_vendor"))
 
 
-def live_table(sessions: DataFrame, devices: DataFrame, enriched: DataFrame, rules: DataFrame, as_of=None, limit: int = 200, idle: str = "90 seconds") -> DataFrame:
-    """The live session table: the newest sessions first, then everything else joined to those few rows alone."""
+def live_table(sessions: DataFrame, devices: DataFrame, enriched: DataFrame, rules: DataFrame, as_of=None, limit: int = 200, idle: str = "90 seconds", labels: DataFrame | None = None) -> DataFrame:
+    """The live session table: the newest sessions first, then everything else joined to those few rows alone.
+
+    With ``labels`` (see ``flow_labels``) each row has a ``label`` too: the label of its flow, else that of its host,
+    port, address or protocol.
+    """
     few = newest(session_columns(sessions, as_of, idle), "start_time", limit, ["id"])
     named = with_enrichment(with_devices(few, devices), enriched)
     named = named.withColumn("root_domain", F.lower(F.substring_index("hostname", ".", -2))).withColumn("device", display_name("device_hostname", "src_ip", "src_mac"))
+    if labels is not None:
+        named = classify_flows(flow_labels(named, labels), "hostname", "dst_port", "dst_ip", "protocol")
+        named = named.withColumn("label", F.coalesce("ndpi_app", "found.app"))
     return rule_cascade(named, "hostname", "root_domain", "dst_ip", rules)
 
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from packetloom.operators import details, pipeline, topk
 from packetloom.functions import periods
 from packetloom.plans.entities import PER_DEVICE, SECONDS, VISIT_BYTES
+from packetloom.plans.streams import shared
 from packetloom.plans.views import Views, registry, rounded
+from packetloom.sources import sinks
 
 query, QUERIES, ORACLE = registry()
 
@@ -112,6 +114,20 @@ def full_report(v: Views):
     return sections(details.full_report(v("users"), v("user_sessions"), v("flows"), v("visits"), v("devices")))
 
 
+FULL = ORACLE["full_report"]
+
+
+@query()
+def exported_report(v: Views):
+    """SNK2 and PL12: the sections of the report written as JSON and read back."""
+    frames, path = details.full_report(v("users"), v("user_sessions"), v("flows"), v("visits"), v("devices")), shared(v, "report")
+    sinks.export_report(frames, path)
+    return sections({name: v.spark.read.json(f"{path}/{name}") for name in frames})
+
+
+ORACLE["exported_report"] = FULL
+
+
 @query(f"""
 select (select count(*) from visits) + count(*) filter ({TOTAL} > 1024 and application is not null) as total_events, (select count(*) from visits) as websites_visited, count(distinct application) as applications_used,
   cast((select sum(bytes_transferred) from visits) + sum{TOTAL} as bigint) as data_transferred from flows""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from packetloom.functions import scalars, tables
+from packetloom.functions import periods, scalars, tables
 from packetloom.operators import filters, joins, pipeline, sessions, topk
 from packetloom.plans.views import Views, registry
 from packetloom.sources import readers
@@ -218,6 +218,12 @@ def backfill_vendors(v: Views):
 # ---- filters and dimension upkeep
 
 
+@query("select id, start_time from flows where start_time between timestamp '1995-03-01 00:00:00' and timestamp '1996-02-01 12:00:00'")
+def period_to_end(v: Views):
+    """FLT3: an ISO start with an end."""
+    return periods.since(v("flows"), "start_time", "1995-03-01T00:00:00Z", end="1996-02-01T12:00:00Z").select("id", "start_time")
+
+
 @query("select id, src_mac from flows")
 def sessions_of_no_device(v: Views):
     """FLT6: an id that no device has is no filter."""

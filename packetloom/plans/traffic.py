@@ -231,6 +231,20 @@ def historical_traffic(v: Views):
     return analytics.historical(v("flows"), v("visits"), "traffic")
 
 
+@query(f"""
+with p(period, start) as (select '1h', {AS_OF} - interval '1' hour union all select '24h', {AS_OF} - interval '24' hour union all select '7d', {AS_OF} - interval '7' day union all select '30d', {AS_OF} - interval '30' day)
+select period, count(distinct src_mac) as value from p left join flows on start_time between start and {AS_OF} group by period""")
+def historical_devices(v: Views):
+    return analytics.historical(v("flows"), v("visits"), "devices")
+
+
+@query("""
+with n as (select max(timestamp) as now from visits), p(period, start) as (select '1h', now - interval '1' hour from n union all select '24h', now - interval '24' hour from n union all select '7d', now - interval '7' day from n union all select '30d', now - interval '30' day from n)
+select period, count(id) as value from p left join visits on timestamp >= start group by period""")
+def historical_visits(v: Views):
+    return analytics.historical(v("flows"), v("visits"), "visits")
+
+
 @query("select count(*) as packets, cast(sum(size) as bigint) as bytes, count(distinct src_mac) as devices, round(count(*) / cast(greatest(epoch(date_trunc('second', max(ts))) - epoch(date_trunc('second', min(ts))), 1) as double), 6) as packets_per_second from packets")
 def capture_counters(v: Views):
     return analytics.capture_counters(v("packets"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import periods, scalars
 from packetloom.operators import analytics, filters, joins, pipeline, sessions, topk
+from packetloom.plans.entities import _HOSTS, _PORTS
 from packetloom.plans.views import Views, registry
 
 query, QUERIES, ORACLE = registry()
@@ -78,6 +79,18 @@ def live_table(v: Views):
     return pipeline.live_table(v("flows").drop("application"), v("devices"), v("enriched"), exact.unionAll(own).unionAll(root)).select("id", "device", "hostname", "total_bytes", "is_active", "category", "app")
 
 
+@query(f"""
+with few as (select * from flows order by start_time desc, id desc limit 200), named as (select f.id, f.dst_port, f.protocol, f.src_ip, f.dst_ip, lower(e.hostname) as host from few f left join enriched e on e.ip_address = f.dst_ip),
+ports(port, app, category) as (values {_PORTS}),
+last as (select src_ip, dst_ip, dst_port, protocol, max(concat('Flow', l_quantity)) as app from (select f.*, cast(cast(id as bigint) % 5 as varchar) as l_quantity from flows f where id % 3 = 0) group by all)
+select n.id, coalesce(last.app, split_part({_HOSTS}, '|', 1), ports.app, n.protocol) as label from named n left join ports on port = n.dst_port left join last on last.src_ip = n.src_ip and last.dst_ip = n.dst_ip and last.dst_port = n.dst_port and last.protocol = n.protocol""")
+def live_labels(v: Views):
+    """PL11: the flow's own label, else the heuristic one."""
+    labels = v("flows").where("id % 3 = 0").select("src_ip", "dst_ip", "dst_port", "protocol", F.lit("2000-01-01").cast("timestamp_ntz").alias("ts"), F.concat(F.lit("Flow"), (F.col("id") % 5).cast("string")).alias("app"), F.lit("any").alias("category"), F.lit(0.5).alias("confidence"))
+    none = v("part").limit(0).select(F.col("p_partkey").alias("id"), F.lit("ip").alias("type"), F.lit("").alias("value"), F.lit("").alias("category"), F.lit("").alias("app"), F.lit(0.1).alias("confidence"))
+    return pipeline.live_table(v("flows").drop("application"), v("devices"), v("enriched"), none, labels=labels).select("id", "label")
+
+
 PROFILE_SESSIONS = f"""
 s as (select m.profile_id as profile, application, start_time, end_time, {TOTAL} as bytes from flows join devices on mac_address = src_mac join (select device_id, max_by(profile_id, struct_pack(a := added_at, p := profile_id)) as profile_id from members group by device_id) m on m.device_id = devices.id where application is not null)
 """
