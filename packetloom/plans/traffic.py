@@ -160,6 +160,13 @@ def session_columns(v: Views):
     return filters.session_columns(v("flows")).select("id", "total_bytes", "last_seen", "duration_minutes", "is_active", "is_encrypted")
 
 
+@query(f"""
+select id, coalesce(end_time, start_time) >= {AS_OF} - interval '200' day as is_active, coalesce(end_time, start_time) as last_seen from flows order by is_active desc, last_seen desc, id limit 60""")
+def live_order(v: Views):
+    """TK14: the first rows of the live order."""
+    return topk.live_order(filters.session_columns(v("flows"), idle="200 days")).select("id", "is_active", "last_seen").limit(60)
+
+
 # ---- aggregates
 
 

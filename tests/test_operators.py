@@ -271,6 +271,14 @@ def test_named_stream_equals_as_of_join(spark, tmp_path):
     assert got[1] is None and got[2] == "a" and got[4] is None and got[3] == "b"
 
 
+def test_session_log_is_rerun_safe(spark, tmp_path):
+    log = streams.session_log(f"{tmp_path}/log", 2)
+    for number, rows in ((0, [packet(1, 0), packet(2, 500), packet(3, 900)]), (1, [packet(4, 2000)]), (1, [packet(4, 2000)])):
+        log(spark.createDataFrame(rows, PACKET), number)
+    got = spark.read.parquet(f"{tmp_path}/log")
+    assert sorted((r.batch, r.start_time) for r in got.collect()) == [(0, T0 + timedelta(seconds=500)), (0, T0 + timedelta(seconds=900)), (1, T0 + timedelta(seconds=2000))]
+
+
 def test_device_upsert_and_snapshots(spark, tmp_path):
     stream = spark.readStream.schema(STREAM).parquet(f"{tmp_path}/in/*")
     for k, rows in enumerate([[packet(1, 0)], [packet(2, 9, src_ip="10.0.0.9"), packet(3, 1, src_mac="n")]]):
