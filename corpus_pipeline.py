@@ -15,6 +15,8 @@ from packetloom.llm.common import documents, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the toxicity model doesn't reject. Null and empty texts and null or repeated ids are rows like any
+    other; without labels of both kinds the model is a constant, which rejects nothing unless most labels are toxic."""
     return toxicity.reject_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -26,7 +28,11 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component, that of the smallest id; rows that repeat an id or have none are judged one by one."""
+    """One row of each component, that of the smallest id; rows that repeat an id or have none are judged one by one.
+
+    So a text of its own stays whatever other text has its id, and equal rows become one. Texts without words, null ones
+    among them, are duplicates of nothing: each of their rows stays. An empty table gives none.
+    """
     if not docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
         rows = numbered(docs)
         judged = near_dedup.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text"))
@@ -38,14 +44,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows without a region of a benchmark item; each is judged by its own text, and null or empty texts stay."""
     return decontamination.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with the secrets of their texts masked and ``n_chars`` counted anew where one was."""
     return secret_scan.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The packed pieces of all rows; a null or empty text is its end alone, and repeated ids are packed as they stand."""
     return packing.pack_documents(docs)
 
 
