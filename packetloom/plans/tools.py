@@ -12,7 +12,8 @@ from packetloom.sources import readers
 query, QUERIES, ORACLE = registry()
 
 TOTAL = "(coalesce(bytes_sent, 0) + coalesce(bytes_received, 0))"
-N = F.col("p_partkey")
+def part_key():
+    return F.col("p_partkey")
 
 
 def text(column):
@@ -31,12 +32,12 @@ select p_partkey * 256 as range_start, p_partkey * 256 + 255 as range_end, cast(
   case when p_partkey % 3 = 2 then 'net' || p_partkey else p_brand end as range_name from part where p_partkey % 7 <> 0""")
 def asn_lines(v: Views):
     """SRC3: tab, bar and blank separated lines, with comments and short lines between."""
-    ends = [text(N * 256), text(N * 256 + 255)]
-    country = F.when(N % 2 == 0, "US").otherwise("DE")
-    tabs = F.concat_ws("\t", *ends, text(N % 500), country, F.col("p_brand"))
-    bars = F.concat_ws("|", *ends, F.concat(F.lit("AS"), text(N % 500)), country, F.col("p_brand"))
-    blanks = F.concat_ws("  ", *ends, text(N % 500), country, F.concat(F.lit("net"), text(N)))
-    line = F.when(N % 7 == 0, F.when(N % 2 == 0, F.concat(F.lit("# "), tabs)).otherwise("short line")).when(N % 3 == 0, tabs).when(N % 3 == 1, bars).otherwise(blanks)
+    ends = [text(part_key() * 256), text(part_key() * 256 + 255)]
+    country = F.when(part_key() % 2 == 0, "US").otherwise("DE")
+    tabs = F.concat_ws("\t", *ends, text(part_key() % 500), country, F.col("p_brand"))
+    bars = F.concat_ws("|", *ends, F.concat(F.lit("AS"), text(part_key() % 500)), country, F.col("p_brand"))
+    blanks = F.concat_ws("  ", *ends, text(part_key() % 500), country, F.concat(F.lit("net"), text(part_key())))
+    line = F.when(part_key() % 7 == 0, F.when(part_key() % 2 == 0, F.concat(F.lit("# "), tabs)).otherwise("short line")).when(part_key() % 3 == 0, tabs).when(part_key() % 3 == 1, bars).otherwise(blanks)
     return readers.ip2asn(v("part").select(line.alias("value")))
 
 
@@ -83,8 +84,8 @@ def raw_packets(v: Views):
 @query("select cast(k as bigint) as priority, concat('App', p_partkey) as app, concat('site', p_partkey, case k when 0 then '.com' else '.org' end) as pattern from part, (values (0), (1)) as s(k)")
 def application_domains(v: Views):
     """SRC4: one JSON object for each part, so every priority is the pattern's place in its list."""
-    site = F.concat(F.lit("Site"), text(N))
-    line = F.to_json(F.create_map(F.concat(F.lit("App"), text(N)), F.array(F.concat(site, F.lit(".com")), F.concat(site, F.lit(".ORG")))))
+    site = F.concat(F.lit("Site"), text(part_key()))
+    line = F.to_json(F.create_map(F.concat(F.lit("App"), text(part_key())), F.array(F.concat(site, F.lit(".com")), F.concat(site, F.lit(".ORG")))))
     return readers.app_domains(v("part").select(line.alias("value")))
 
 
@@ -101,10 +102,10 @@ select id, coalesce(a, 'Unknown') as port_application, coalesce(b, 'TCP') as por
 left join {_values(tables.PORT_APPLICATION, 'x(pa, a)')} on pa = port left join {_values(tables.PORT_PROTOCOL, 'y(pb, b)')} on pb = port left join {_values(tables.PORT_PROTOCOL_LIVE, 'z(pc, c)')} on pc = port
 left join {_values(tables.APPLICATION_CATEGORY, 'w(pk, k)')} on pk = application""")
 def port_names(v: Views):
-    port = F.element_at(F.array(*map(F.lit, PORTS)), (1 + N % len(PORTS)).cast("int"))
-    app = F.element_at(F.array(*map(F.lit, APPS)), (1 + N % len(APPS)).cast("int"))
+    port = F.element_at(F.array(*map(F.lit, PORTS)), (1 + part_key() % len(PORTS)).cast("int"))
+    app = F.element_at(F.array(*map(F.lit, APPS)), (1 + part_key() % len(APPS)).cast("int"))
     return v("part").select(
-        N.alias("id"), scalars.port_application(port).alias("port_application"), scalars.port_protocol(port).alias("port_protocol"),
+        part_key().alias("id"), scalars.port_application(port).alias("port_application"), scalars.port_protocol(port).alias("port_protocol"),
         scalars.port_protocol(port, True).alias("live_protocol"), scalars.application_category(app).alias("category"),
     )
 
@@ -116,11 +117,11 @@ select n as id, nullif(regexp_replace(asn, '\D', '', 'g'), '') as asn_digits, nu
   regexp_replace(name, '\.+$', '') as name, concat('me@host', n, ':80') as authority, case n % 3 when 0 then '' else concat('a', n) end as json_items, case n % 3 when 0 then '' else concat('k=v', n) end as json_pairs, n % 4 < 3 as private_prefix from t""")
 def text_fields(v: Views):
     t = v("part").select(
-        N.alias("n"), F.concat(F.when(N % 3 == 0, "AS").when(N % 3 == 1, "asn ").otherwise(""), F.when(N % 5 == 0, "none").otherwise(text(N)), F.lit(" net")).alias("asn"),
-        F.concat(text(N % 90), F.lit(".5,"), F.when(N % 4 == 0, "").otherwise(text(-(N % 180)))).alias("place"), F.concat(F.lit("www.site"), text(N), F.lit(".org"), F.repeat(F.lit("."), (N % 3).cast("int"))).alias("name"),
-        F.concat(F.lit("https://me@host"), text(N), F.lit(":80"), F.when(N % 3 == 0, "/x").when(N % 3 == 1, "?q").otherwise("")).alias("url"),
-        F.when(N % 3 == 0, "broken").when(N % 3 == 1, F.concat(F.lit('["a'), text(N), F.lit('"]'))).otherwise(F.concat(F.lit('["a'), text(N), F.lit('"]'))).alias("items"),
-        F.when(N % 3 == 0, None).otherwise(F.concat(F.lit('{"k": "v'), text(N), F.lit('"}'))).alias("pairs"), F.concat(F.when(N % 4 == 0, "10.").when(N % 4 == 1, "192.168.").when(N % 4 == 2, "172.").otherwise("11."), F.lit("1.1")).alias("ip"),
+        part_key().alias("n"), F.concat(F.when(part_key() % 3 == 0, "AS").when(part_key() % 3 == 1, "asn ").otherwise(""), F.when(part_key() % 5 == 0, "none").otherwise(text(part_key())), F.lit(" net")).alias("asn"),
+        F.concat(text(part_key() % 90), F.lit(".5,"), F.when(part_key() % 4 == 0, "").otherwise(text(-(part_key() % 180)))).alias("place"), F.concat(F.lit("www.site"), text(part_key()), F.lit(".org"), F.repeat(F.lit("."), (part_key() % 3).cast("int"))).alias("name"),
+        F.concat(F.lit("https://me@host"), text(part_key()), F.lit(":80"), F.when(part_key() % 3 == 0, "/x").when(part_key() % 3 == 1, "?q").otherwise("")).alias("url"),
+        F.when(part_key() % 3 == 0, "broken").when(part_key() % 3 == 1, F.concat(F.lit('["a'), text(part_key()), F.lit('"]'))).otherwise(F.concat(F.lit('["a'), text(part_key()), F.lit('"]'))).alias("items"),
+        F.when(part_key() % 3 == 0, None).otherwise(F.concat(F.lit('{"k": "v'), text(part_key()), F.lit('"}'))).alias("pairs"), F.concat(F.when(part_key() % 4 == 0, "10.").when(part_key() % 4 == 1, "192.168.").when(part_key() % 4 == 2, "172.").otherwise("11."), F.lit("1.1")).alias("ip"),
     )
     latitude, longitude = scalars.split_location(F.col("place"))
     pairs = F.array_join(F.transform(F.map_entries(scalars.json_map(F.col("pairs"))), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
@@ -143,14 +144,14 @@ select p_partkey as id, coalesce(kind, 'unknown') as device_type, coalesce(os, '
 from part left join a on k = p_partkey % 10""")
 def agents_and_labels(v: Views):
     """SC11 and SC9: device and system of user agents; labels of two sources merged field by field."""
-    agent = F.element_at(F.array(*(F.lit(a) for a, _, _ in AGENTS), F.lit(None).cast("string")), (1 + N % 10).cast("int"))
+    agent = F.element_at(F.array(*(F.lit(a) for a, _, _ in AGENTS), F.lit(None).cast("string")), (1 + part_key() % 10).cast("int"))
     kind, system = scalars.device_of_agent(agent)
     label = lambda app, sure: F.struct(app.alias("app"), F.lit(None).cast("string").alias("category"), sure.alias("confidence"))
     none = F.lit(None).cast("string")
-    first = label(F.when(N % 2 == 0, "Own"), none)
-    second = label(F.when(N % 3 != 0, "Other"), F.when(N % 3 != 0, "high"))
+    first = label(F.when(part_key() % 2 == 0, "Own"), none)
+    second = label(F.when(part_key() % 3 != 0, "Other"), F.when(part_key() % 3 != 0, "high"))
     merged = scalars.merge_labels(first, second)
-    return v("part").select(N.alias("id"), kind.alias("device_type"), system.alias("operating_system"), merged["app"].alias("app"), merged["confidence"].alias("confidence"))
+    return v("part").select(part_key().alias("id"), kind.alias("device_type"), system.alias("operating_system"), merged["app"].alias("app"), merged["confidence"].alias("confidence"))
 
 
 # ---- rules, networks and vendors
@@ -187,8 +188,8 @@ from part where p_partkey % 2 = 0""")
 def fill_networks(v: Views):
     """PL8: what enriched public addresses lack comes from the range table."""
     part = v("part").where("p_partkey % 2 = 0")
-    ip = F.concat_ws(".", F.lit("8"), text(N % 250), text(F.floor(N / 250) % 250), text(N % 7))
-    rows = part.select(ip.alias("ip_address"), F.when(N % 3 == 0, 7).cast("long").alias("asn"), F.when(N % 4 == 0, "FR").alias("country_code"), F.when(N % 6 == 0, "Own").alias("organization"), N.alias("key"))
+    ip = F.concat_ws(".", F.lit("8"), text(part_key() % 250), text(F.floor(part_key() / 250) % 250), text(part_key() % 7))
+    rows = part.select(ip.alias("ip_address"), F.when(part_key() % 3 == 0, 7).cast("long").alias("asn"), F.when(part_key() % 4 == 0, "FR").alias("country_code"), F.when(part_key() % 6 == 0, "Own").alias("organization"), part_key().alias("key"))
     low = scalars.ipv4_number(F.col("ip_address"))
     ranges = rows.select(low.alias("range_start"), low.alias("range_end"), (F.col("key") % 5 + 1).alias("range_asn"), F.lit("US").alias("range_country"), F.concat(F.lit("Net"), text(F.col("key") % 5)).alias("range_name"))
     return pipeline.fill_networks(rows.drop("key").withColumn("number", low), ranges, "number").drop("number")
@@ -251,9 +252,9 @@ select 'category' as kind, p_partkey as id from part where p_partkey % 5 <> 0 un
 union all select 'rule', l.id from (select o_orderkey as id, o_custkey % 10 as app_id from orders) l where l.app_id not in (select id from apps where category_id in (select id from gone))""")
 def cascade_deletes(v: Views):
     key = F.col("s_suppkey")
-    categories, apps = v("part").select(N.alias("id")), v("supplier").select(key.alias("id"), (key % 20).alias("category_id"))
+    categories, apps = v("part").select(part_key().alias("id")), v("supplier").select(key.alias("id"), (key % 20).alias("category_id"))
     rules = v("orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 10).alias("app_id"))
-    left = pipeline.cascade_delete(categories, apps, rules, v("part").where(N % 5 == 0).select(N.alias("category_id")))
+    left = pipeline.cascade_delete(categories, apps, rules, v("part").where(part_key() % 5 == 0).select(part_key().alias("category_id")))
     kinds = [df.select(F.lit(kind).alias("kind"), F.col("id").cast("long").alias("id")) for kind, df in zip(("category", "app", "rule"), left, strict=True)]
     return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
 
