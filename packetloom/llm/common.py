@@ -7,12 +7,24 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch. Spark's own bound is ARROW_DEFAULT, which long texts reach in the JVM and in every worker.
+ARROW_BYTES, ARROW_DEFAULT = 4 << 20, 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by ARROW_BYTES; a bound that the user has set stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key).rstrip("b") == str(ARROW_DEFAULT):
+        spark.conf.set(key, str(ARROW_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``. Where it is unset, a temporary one, in local mode alone."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -37,6 +49,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most bits of a filter: 64 MB, enough for 50 million keys at one wrong answer in 100. More keys only raise that share.
+BLOOM_BITS = 1 << 29
+BLOOM_HASHES = 3
+
+
+def bloom_test(keys: DataFrame):
+    """A column function: whether a long is perhaps among ``keys`` (one long column). It is never wrong for a key that is.
+
+    The words of the filter are made by a grouped aggregation and broadcast, at most BLOOM_BITS of them.
+    """
+    keys = keys.toDF("key").where("key is not null")
+    bits = min(BLOOM_BITS, 1 << max(16, (10 * keys.count()).bit_length()))
+    low, high = F.col("key").bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned("key", 32)
+    slots = F.explode(F.array(*((low + high * k).bitwiseAND(bits - 1) for k in range(BLOOM_HASHES))))
+    words = keys.select(slots.alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("word")).toArrow()
+    table = np.zeros(bits // 64, np.int64)
+    table[words["at"].to_numpy()] = words["word"].to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def perhaps(found: pd.Series) -> pd.Series:
+        given, words = found.to_numpy(np.uint64), shared.value.view(np.uint64)
+        low, high, out = given & np.uint64(0xFFFFFFFF), given >> np.uint64(32), np.ones(len(found), bool)
+        for k in range(BLOOM_HASHES):
+            slot = (low + high * np.uint64(k)) & np.uint64(64 * len(words) - 1)
+            out &= (words[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return pd.Series(out)
+
+    return perhaps
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import fold, split_words, written
+from packetloom.llm.common import fold, slices, split_words, written
 
 HELD_OUT = 1
 MARK = "▁"
@@ -213,7 +213,7 @@ def lattice_scores(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], schema=_SCORED)
 
     scored = written(counts.mapInArrow(score, SCORED), "word-scores")
-    hot = scored.where(F.col("n") * HOT_WORDS >= tokens).orderBy("word").toPandas() if tokens else scored.limit(0).toPandas()
+    hot = (scored.where(F.col("n") * HOT_WORDS >= tokens) if tokens else scored.limit(0)).toPandas().sort_values("word")  # at most HOT_WORDS
     frequent = docs.sparkSession.sparkContext.broadcast((hot["word"].to_numpy(object), np.log10((hot["n"].to_numpy(float) + 0.5) / below), hot["log10"].to_numpy(float)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,8 +221,7 @@ def lattice_scores(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         names, base_of, score_of = pa.array(names, pa.string()), np.append(base_of, 0.0), np.append(score_of, 0.0)
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, 1, 1024):
                 yield from _parts(part, row, names, base_of, score_of, end)
                 row += part.num_rows
 

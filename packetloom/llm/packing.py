@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.bestfit import best_fit_decreasing
-from packetloom.llm.common import slices, written
+from packetloom.llm.common import slices, small_batches, written
 from packetloom.llm.tokens import default_vocabulary, encoder
 
 CAPACITY = 4096
@@ -66,6 +66,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int
     pieces of ``capacity`` with a shorter last one. Repeated rows and null ids are packed like any other row; an empty
     table gives none; other columns are not read. Returns ``PACKED`` rows; ``fill`` is the sequence's token count.
     """
+    small_batches(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 

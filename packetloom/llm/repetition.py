@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import split_words
+from packetloom.llm.common import slices, small_batches, split_words
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
@@ -98,8 +98,7 @@ def count_batch(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
+        for part in slices(batch, 1):
             yield count_batch(part.column(0), part.column(1))
 
 
@@ -110,6 +109,7 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
     empty table gives no rows; other columns are not read. ``kept`` is false if the base rule fails (fewer than
     ``MIN_WORDS`` words, or over half of them in repeated 3-word windows) or a share is over its limit.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counted = docs.mapInArrow(_count_batches, COUNTS)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.bestfit import best_fit_decreasing
-from packetloom.llm.common import new_table_path, slices
+from packetloom.llm.common import new_table_path, slices, small_batches
 from packetloom.llm.packing import piece_bounds
 from packetloom.llm.tokens import default_vocabulary, encoder
 
@@ -96,6 +96,7 @@ def token_matrices(docs: DataFrame, vocabulary: str | None = None, capacity: int
     table gives no rows; other columns are not read. An id over 65,535 is an error. A task packs what it holds at each
     HELD_TOKENS, so its memory is bounded, and each such time leaves one line in part empty.
     """
+    small_batches(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import fold, slices, split_words, written
+from packetloom.llm.common import fold, slices, small_batches, split_words, written
 
 HELD_OUT = 0
 WINDOW, STRIDE = 48, 32
@@ -149,11 +149,11 @@ class Network:
     def logits(self, inputs: np.ndarray, codes: np.ndarray) -> np.ndarray:
         forward, backward = self.projected(inputs, "f"), self.projected(inputs, "b")
         out = np.empty(len(codes), np.float32)
-        for at in range(0, len(codes), 4096):
-            part = codes[at : at + 4096]
+        for at in range(0, len(codes), 1024):
+            part = codes[at : at + 1024]
             real = part < len(inputs)
             states = np.concatenate([self.run(forward, part, real, "f"), self.run(backward, part, real, "b")], axis=2)
-            out[at : at + 4096] = self.pooled(states, real)[1] @ self.p["w"] + self.p["b"]
+            out[at : at + 1024] = self.pooled(states, real)[1] @ self.p["w"] + self.p["b"]
         return out
 
     def gradients(self, words: Vocabulary, codes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict[str, np.ndarray]:
@@ -350,11 +350,12 @@ def sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def trained_network(sample: DataFrame) -> Network:
     """Train in one task, whose rows the sample's limits bound; only the parameters (4 MB) come to the driver."""
+    steps = STEPS
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches, _WINDOWS)
         text = pa.concat_arrays(rows["text"].chunks)
-        net = train(text, rows["doc_id"].to_numpy(), rows["toxic"].to_numpy())
+        net = train(text, rows["doc_id"].to_numpy(), rows["toxic"].to_numpy(), steps)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.p)], pa.binary())], names=["parameters"])
 
     own = sample.select("doc_id", "toxic", "text").mapInArrow(sample_windows, WINDOWS)
@@ -391,6 +392,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Scorer | float:
 
 def scorer(docs: DataFrame, labels: DataFrame):
     """A column function from text to score, trained on the labels."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
 
     @F.pandas_udf("double")
@@ -399,7 +401,7 @@ def scorer(docs: DataFrame, labels: DataFrame):
         if isinstance(found, float):
             return pd.Series(np.full(len(texts), found))
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], names=["text"])
-        return pd.Series(np.concatenate([np.zeros(0), *(found.scores(part.column(0)) for part in slices(batch, 0, 512, 2 << 20))]))
+        return pd.Series(np.concatenate([np.zeros(0), *(found.scores(part.column(0)) for part in slices(batch, 0, 256, 1 << 20))]))
 
     return score
 

@@ -7,7 +7,7 @@ import pytest
 from test_models import components
 from test_scans import edit_distance_inside, plain
 
-from packetloom.llm import decontamination, secret_scan
+from packetloom.llm import decontamination, secret_scan, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +26,8 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-def test_stages(spark, folder):
+def test_stages(spark, folder, monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 40)  # the model itself is judged in test_models and by test_run
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     bench = [plain(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
     columns = docs.columns
