@@ -2,8 +2,8 @@
 
 A text region within ``e`` edits of a passage of ``m`` characters shares at least ``m - q + 1 - q * e`` q-grams with it,
 all on diagonals (text position minus passage position) that span at most ``e + 1``. Documents are streamed against
-an index of the passages' q-grams: hits are counted in overlapping diagonal bands, bands that reach the bound are kept,
-and a banded alignment verifies them. Texts are never shuffled; passages come in blocks of a fixed size, one pass each.
+an index of the items' q-grams: hits are counted in overlapping diagonal bands, bands that reach the bound are kept,
+and a banded alignment verifies them. Texts are never shuffled; a benchmark of up to ``BLOCK_CHARS`` takes one pass.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.llm.common import small_batches
+
 Q = 8
 #: Edits allowed for each character of a passage.
 EDIT_RATE = 0.08
@@ -24,12 +26,12 @@ EDIT_RATE = 0.08
 MIN_CHARS = 32
 #: Shorter ones yet are not distinctive and are left out; a character of a script without spaces counts twice.
 LEAST_WEIGHT = 2 * Q
-#: Longer passages are searched as pieces, one every PIECE_STEP characters and one at the end: each stretch of
-#: PIECE_CHARS + PIECE_STEP - 1 characters holds a whole piece.
-PIECE_CHARS, PIECE_STEP = 600, 100
-#: Characters of pieces in a block: its index takes about 32 MB. A passage's pieces stay in one block.
-BLOCK_CHARS = 2_000_000
-TABLE_BITS = 22
+#: Items of up to LONG_CHARS are one passage. Of longer ones each stretch of PIECE_CHARS, one every PIECE_STEP characters
+#: and one at the end, is a passage, so each quote of PIECE_CHARS + PIECE_STEP - 1 characters holds one; passages found
+#: side by side are one region. The index holds each character once.
+LONG_CHARS, PIECE_CHARS, PIECE_STEP = 600, 300, 100
+#: Characters of items in a block: its index takes about 250 MB at most. An item stays in one block.
+BLOCK_CHARS = 10_000_000
 
 FOUND = "doc_id long, item_id long, start long, end long, edits int"
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("edits", pa.int32())])
@@ -55,7 +57,7 @@ def unspaced(codes: np.ndarray) -> np.ndarray:
 
 def qgrams(codes: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each window of Q codes, by doubling."""
-    have, n, step = codes.astype(np.uint64) + np.uint64(1), 1, MIX
+    have, n, step = codes.astype(np.uint64) + np.uint64(1), 1, np.array([MIX])
     while n < Q:
         if len(have) <= n:
             return np.zeros(0, np.uint64)
@@ -64,63 +66,79 @@ def qgrams(codes: np.ndarray) -> np.ndarray:
     return have * MIX
 
 
-def slot(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-
-
 class PassageIndex:
-    """The q-grams of a block of passages."""
-
-    def __init__(self, passages: list[tuple[int, str]]):
-        self.item, self.codes = [], []
-        for item_id, text in passages:
+    """The q-grams of a block of items."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        self.item: list[int] = []  # of each kept item: its id and codes
+        self.codes: list[np.ndarray] = []
+        owner, start, size = [], [], []
+        self.first_piece = []
+        for item_id, text in items:
             codes = normalized(text)[0]
             edge = np.flatnonzero(codes != 32)[[0, -1]] if (codes != 32).any() else (0, -1)
             codes = codes[edge[0] : edge[1] + 1]
             if len(codes) < MIN_CHARS and (len(codes) < Q or len(codes) + unspaced(codes).sum() < LEAST_WEIGHT):
                 continue
-            last = max(0, len(codes) - PIECE_CHARS)
-            for a in [*range(0, last, PIECE_STEP), last]:
-                self.item.append(item_id)
-                self.codes.append(codes[a : a + PIECE_CHARS])
-        budgets = [int(EDIT_RATE * len(c)) if len(c) >= MIN_CHARS else 0 for c in self.codes]
-        self.edits = np.array(budgets, np.int64)
-        self.least = np.array([len(c) - Q + 1 - Q * e for c, e in zip(self.codes, budgets, strict=True)], np.int64)
+            self.first_piece.append(len(owner))
+            last = len(codes) - PIECE_CHARS
+            starts = [0] if len(codes) <= LONG_CHARS else [*range(0, last, PIECE_STEP), last]
+            owner += [len(self.item)] * len(starts)
+            start += starts
+            size += [min(len(codes), LONG_CHARS) if len(starts) == 1 else PIECE_CHARS] * len(starts)
+            self.item.append(item_id)
+            self.codes.append(codes.astype(np.uint32))
+        self.first_piece = np.array([*self.first_piece, len(owner)], np.int64)
+        # Of each passage: its item, where it starts there, its length, its edits and the hits that it needs.
+        self.owner, self.start, self.size = (np.array(x, np.int64) for x in (owner, start, size))
+        self.edits = np.where(self.size >= MIN_CHARS, (EDIT_RATE * self.size).astype(np.int64), 0)
+        self.least = self.size - Q + 1 - Q * self.edits
         grams = [qgrams(c) for c in self.codes]
         flat = np.concatenate([np.zeros(0, np.uint64), *grams])
         order = np.argsort(flat, kind="stable")
-        self.owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
-        self.offset = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])[order]
-        self.grams, self.first = np.unique(flat[order], return_index=True)
-        self.first = np.append(self.first, len(flat))
-        self.table = np.zeros(1 << TABLE_BITS, np.uint8)
-        self.table[slot(self.grams)] = 1
+        counts = [len(g) for g in grams]
+        self.gram_item = np.repeat(np.arange(len(grams), dtype=np.int32), counts)[order]
+        self.gram_offset = np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in counts)])[order]
+        self.grams = flat[order]
+        self.shift = np.uint64(64 - min(27, max(22, (32 * len(flat)).bit_length())))
+        self.table = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.table[self.grams >> self.shift] = True
+
+    def in_passages(self, at: np.ndarray, item: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, diagonal) of each hit in each passage that holds its q-gram."""
+        first, count = self.first_piece[item], np.diff(self.first_piece)[item]
+        long = count > 1
+        found = [(first[~long], at[~long] - offset[~long])]
+        first, count, at, offset = first[long], count[long], at[long], offset[long]
+        for back in range(-(-PIECE_CHARS // PIECE_STEP) if len(at) else 0):
+            k = offset // PIECE_STEP - back
+            good = (k >= 0) & (k < count - 1) & (offset + Q <= k * PIECE_STEP + PIECE_CHARS)
+            found.append((first[good] + k[good], at[good] - offset[good] + k[good] * PIECE_STEP))
+        last = first + count - 1
+        start = self.start[last] if len(last) else last
+        good = offset >= start
+        found.append((last[good], at[good] - offset[good] + start[good]))
+        return np.concatenate([p for p, _ in found]), np.concatenate([d for _, d in found])
 
     def bands(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
         """(passage, first diagonal, last diagonal) of the bands that reach the lemma's bound."""
         grams = qgrams(codes)
-        at = np.flatnonzero(self.table[slot(grams)])
-        if not len(at):
-            return []
-        gram = np.searchsorted(self.grams, grams[at])
-        gram[gram == len(self.grams)] = 0
-        real = self.grams[gram] == grams[at]
-        at, gram = at[real], gram[real]
-        n = self.first[gram + 1] - self.first[gram]
+        at = np.flatnonzero(self.table[grams >> self.shift])
+        low, high = np.searchsorted(self.grams, grams[at], "left"), np.searchsorted(self.grams, grams[at], "right")
+        n = high - low
         if not n.sum():
             return []
-        posting = np.repeat(self.first[gram] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        owner = self.owner[posting]
-        diagonal = np.repeat(at, n) - self.offset[posting] + PIECE_CHARS
-        width = self.edits[owner] + 1
-        band = diagonal // width
-        bands = np.int64(len(codes) + 2 * PIECE_CHARS + 2)
-        keys, counts = np.unique(np.concatenate([owner * bands + band, owner * bands + np.maximum(band - 1, 0)]), return_counts=True)
-        owner, band = keys // bands, keys % bands
-        good = counts >= self.least[owner]
-        width = self.edits[owner] + 1
-        low = band * width - PIECE_CHARS
-        return list(zip(owner[good].tolist(), low[good].tolist(), (low + 2 * width - 1)[good].tolist(), strict=True))
+        posting = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        passage, diagonal = self.in_passages(np.repeat(at, n), self.gram_item[posting].astype(np.int64), self.gram_offset[posting].astype(np.int64))
+        band = (diagonal + LONG_CHARS) // (self.edits[passage] + 1)
+        bands = np.int64(len(codes) + 2 * LONG_CHARS + 2)
+        keys, counts = np.unique(np.concatenate([passage * bands + band, passage * bands + np.maximum(band - 1, 0)]), return_counts=True)
+        passage, band = keys // bands, keys % bands
+        good = counts >= self.least[passage]
+        passage, band = passage[good], band[good]
+        width = self.edits[passage] + 1
+        low = band * width - LONG_CHARS
+        return list(zip(passage.tolist(), low.tolist(), (low + 2 * width - 1).tolist(), strict=True))
 
     @staticmethod
     def bordered(text: np.ndarray, start: int, end: int) -> bool:
@@ -130,9 +148,8 @@ class PassageIndex:
                 return False
         return True
 
-    def align(self, passage: int, text: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
-        """(edits, start, end) of the best region for the passage on diagonals low..high, if within its budget."""
-        pattern, budget = self.codes[passage], int(self.edits[passage])
+    def align(self, pattern: np.ndarray, budget: int, text: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the best region for the pattern on diagonals low..high, if within its budget."""
         m = len(pattern)
         for d in range(max(low, 0), min(high, len(text) - m) + 1):
             if text[d] == pattern[0] and np.array_equal(text[d : d + m], pattern) and (m >= MIN_CHARS or self.bordered(text, d, d + m)):
@@ -164,16 +181,42 @@ class PassageIndex:
         k = int(np.argmin(cells))
         return int(cells[k]) // unit, int(cells[k]) % unit, m + low + k
 
+    def regions(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(edits, item, start, end) of every passage found; those of a long item that follow each other are one region."""
+        hits, long = [], {}
+        for passage, low, high in self.bands(codes):
+            own, a = int(self.owner[passage]), int(self.start[passage])
+            pattern = self.codes[own][a : a + int(self.size[passage])]
+            if got := self.align(pattern, int(self.edits[passage]), codes, low, high):
+                if self.first_piece[own + 1] - self.first_piece[own] == 1:
+                    hits.append((got[0], own, *got[1:]))
+                else:
+                    long.setdefault(own, set()).add((got[1], a, got[2], got[0]))
+        for own, found in long.items():
+            chains: list[list[tuple[int, int, int, int]]] = []
+            for hit in sorted(found):
+                chain = next((c for c in chains if c[-1][1] <= hit[1] <= c[-1][1] + PIECE_CHARS and hit[0] <= c[-1][2]), None)
+                chain.append(hit) if chain else chains.append([hit])
+            hits += [(*self.chained(own, chain, codes),) for chain in chains]
+        return hits
+
+    def chained(self, own: int, chain: list[tuple[int, int, int, int]], codes: np.ndarray) -> tuple[int, int, int, int]:
+        """The region of passages that follow each other, with the edits of the whole stretch of the item."""
+        first, last = chain[0][1], chain[-1][1] + PIECE_CHARS
+        start, end = chain[0][0], max(x[2] for x in chain)
+        worst = sum(x[3] for x in chain) + abs((end - start) - (last - first))
+        if worst:
+            shift = [x[0] - (x[1] - first) for x in chain]
+            if got := self.align(self.codes[own][first:last], worst, codes, min(shift), max(shift)):
+                return got[0], own, got[1], got[2]
+        return worst, own, start, end
+
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) in the text, best first where regions for one item overlap."""
         codes, at = normalized(text or "")
         if len(codes) < Q:
             return []
-        hits = []
-        for passage, low, high in self.bands(codes):
-            if got := self.align(passage, codes, low, high):
-                edits, start, end = got
-                hits.append((edits, self.item[passage], int(at[start]), int(at[max(start, end - 1)]) + 1))
+        hits = [(edits, self.item[own], int(at[start]), int(at[max(start, end - 1)]) + 1) for edits, own, start, end in self.regions(codes)]
         out: list[tuple[int, int, int, int]] = []
         for edits, item, start, end in sorted(set(hits)):
             if all(item != x[0] or end <= x[1] or start >= x[2] for x in out):
@@ -181,27 +224,26 @@ class PassageIndex:
         return out
 
 
-def shared_indexes(spark: SparkSession, benchmark: DataFrame) -> list[Broadcast]:
-    """The index of each block of passages, broadcast; a block is bounded, and there are as many as the passages need."""
-    passages = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") >= Q)
-    size = F.length("text")
-    size = F.when(size > PIECE_CHARS, (F.ceil((size - PIECE_CHARS) / PIECE_STEP) + 1) * PIECE_CHARS).otherwise(size)
-    chars = passages.agg(F.sum(size)).first()[0] or 0
+def shared_indexes(spark: SparkSession, benchmark: DataFrame) -> Iterator[Broadcast]:
+    """The index of each block of items, broadcast one after another; a block is bounded, and most benchmarks are one."""
+    small_batches(spark)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") >= Q)
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-chars // BLOCK_CHARS)
-    found = []
     for block in range(blocks):
-        own = passages.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        found.append(spark.sparkContext.broadcast(PassageIndex([tuple(r) for r in own.orderBy("item_id", "text").collect()])))
-    return found
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        yield spark.sparkContext.broadcast(PassageIndex(sorted(tuple(r) for r in own.toLocalIterator())))
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Regions of ``docs`` (``doc_id``, ``text``) within the edit budget of a passage of ``benchmark`` (``item_id``, ``text``).
 
     Returns one row for each region: doc_id, item_id, start, end (code points of the text, end exclusive) and edits.
-    Case, punctuation and white space count for nothing. Null or empty texts hold no region; passages
-    under MIN_CHARS are found where they stand exactly, null ones and those under LEAST_WEIGHT are not searched for; equal passages each find their own; repeated documents each have their rows; either table may be
-    empty; other columns are not read.
+    Case, punctuation and white space count for nothing. Items of over LONG_CHARS are found wherever PIECE_CHARS +
+    PIECE_STEP - 1 characters of them stand; a longer stretch, or the whole item, is still one region. Items under
+    MIN_CHARS are found where they stand exactly; null ones and those under LEAST_WEIGHT are not searched for. Null or
+    empty texts hold no region; equal items each find their own; repeated documents and null ids each have their rows;
+    either table may be empty; other columns are not read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -227,7 +269,10 @@ def leak_test(shared: Broadcast):
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without any region that ``find_passages`` finds, with all their columns."""
+    """The rows of ``docs`` without any region that ``find_passages`` finds, with all their columns.
+
+    Null and empty texts stay; rows are judged by their own text, so repeated and null ids make no difference.
+    """
     for shared in shared_indexes(docs.sparkSession, benchmark):
         docs = docs.where(~leak_test(shared)(F.col("text").cast("string")))
     return docs
