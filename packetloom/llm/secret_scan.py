@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from packetloom.llm.common import new_table_path, written
+from packetloom.llm.common import bloom_test, new_table_path, slices, small_batches, written
 
 RULE_VERSION = "2"
 BASE = (
@@ -83,8 +83,8 @@ def scan(text: str) -> tuple[int, int, int, str, str]:
 
 
 def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(blob, RULE_VERSION, *scan(text)) for blob, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+    for part in (part for batch in batches for part in slices(batch, 1)):
+        rows = [(blob, RULE_VERSION, *scan(text)) for blob, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_FOUND)], schema=_FOUND)
 
 
@@ -96,24 +96,55 @@ class BlobLedger:
     """A table of what was found in each (blob, rule version), kept at ``path`` and extended by every scan."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
+        small_batches(spark)
         self.spark, self.path = spark, path or new_table_path(spark, "blob-ledger")
         spark.createDataFrame([], FOUND).write.mode("append").parquet(self.path)
 
-    def rows(self) -> DataFrame:
+    def entries(self) -> DataFrame:
+        """What was found under the present rules; two scans at a time may have written a blob twice."""
         return self.spark.read.schema(FOUND).parquet(self.path).where(F.col("rule_version") == RULE_VERSION)
 
+    def rows(self) -> DataFrame:
+        """What was found under the present rules, once for each blob."""
+        return self.entries().dropDuplicates(["blob"])
+
+    def findings(self, paths: DataFrame) -> DataFrame:
+        """The rows of the blobs of ``paths``, as a table: a join with it can split a blob of very many paths."""
+        return written(self.rows().join(paths.select("blob").distinct(), "blob", "left_semi"), "findings")
+
     def scan_new(self, versions: DataFrame, paths: DataFrame) -> None:
-        """Scan one text of each blob of ``versions`` (id, text, blob) that the ledger lacks; paths: its (id, blob)."""
-        due = paths.join(self.rows().select("blob"), "blob", "left_anti").groupBy("blob").agg(F.min("id").alias("id"))
+        """Scan one text of each blob of ``versions`` (id, text, blob) that the ledger lacks; paths: its (id, blob).
+
+        Texts are scanned where they are read and never shuffled. Rows to skip (known blobs and repeats) are broadcast
+        while they are few. Beyond that a filter of them is, and due rows that it keeps back by mistake are scanned in a
+        second pass, behind a filter of those.
+        """
+        due = paths.groupBy("blob").agg(F.min("id").alias("id")).join(self.entries().select("blob"), "blob", "left_anti")
         due = written(due, "blobs-due")
         same = lambda a, b: (a["blob"] == b["blob"]) & a["id"].eqNullSafe(b["id"])
         skipped = written(paths.distinct().join(due, same(paths, due), "left_anti"), "blobs-skipped")
         if skipped.count() <= BROADCAST_ROWS:
-            texts = versions.join(F.broadcast(skipped), same(versions, skipped), "left_anti")
-        else:
-            texts = versions.join(due, same(versions, due), "left_semi")
-        found = texts.select("blob", "text").mapInArrow(_scan_batches, FOUND)
-        found.dropDuplicates(["blob"]).write.mode("append").parquet(self.path)
+            self._scan(versions.join(F.broadcast(skipped), same(versions, skipped), "left_anti"))
+            return
+        key = F.xxhash64("id", "blob")
+        self._scan(versions.where(~bloom_test(skipped.select(key))(key)))
+        missed = written(due.join(self.entries().select("blob"), "blob", "left_anti"), "blobs-missed")
+        if missed.limit(1).count():
+            self._scan(versions.where(bloom_test(missed.select(key))(key)), missed)
+
+    def _scan(self, texts: DataFrame, wanted: DataFrame | None = None) -> None:
+        found = texts.select("blob", "text").mapInArrow(_scan_batches, FOUND).dropDuplicates(["blob"])
+        found = found if wanted is None else found.join(wanted.select("blob"), "blob", "left_semi")
+        found.write.mode("append").parquet(self.path)
+
+
+def scanned_paths(docs: DataFrame, ledger: BlobLedger) -> DataFrame:
+    """(id, blob) of every row of ``docs``, all of whose blobs the ledger knows now."""
+    versions = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    versions = versions.withColumn("blob", blob_of(F.col("text")))
+    paths = written(versions.select("id", "blob"), "blob-paths")
+    ledger.scan_new(versions, paths)
+    return paths
 
 
 def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
@@ -124,11 +155,8 @@ def scan_secrets(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame
     columns are not read.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
-    versions = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    versions = versions.withColumn("blob", blob_of(F.col("text")))
-    paths = written(versions.select("id", "blob"), "blob-paths")
-    ledger.scan_new(versions, paths)
-    return paths.join(ledger.rows().drop("rule_version"), "blob", "left").select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    paths = scanned_paths(docs, ledger)
+    return paths.join(ledger.findings(paths), "blob", "left").select(F.col("id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 @F.pandas_udf(StringType())
@@ -151,17 +179,23 @@ def masked(text: pd.Series, spans: pd.Series) -> pd.Series:
 def redact(docs: DataFrame, ledger: BlobLedger | None = None) -> DataFrame:
     """``docs`` with all secrets of ``text`` masked and ``n_chars`` (if there) counted anew; no row is dropped.
 
-    Rows without findings, null texts among them, stay as they are.
+    Rows without findings, null texts among them, stay as they are; repeated rows and null ids are masked like any
+    other; other columns keep their values, also those named like this module's own.
     """
     ledger = ledger or BlobLedger(docs.sparkSession)
-    scan_secrets(docs, ledger)
-    hits = ledger.rows().where("spans <> ''").select(F.col("blob").alias("hit_blob"), F.col("spans").alias("hit_spans"))
-    hits = F.broadcast(hits) if hits.count() <= BROADCAST_ROWS // 4 and hits.agg(F.coalesce(F.sum(F.length("hit_spans")), F.lit(0))).first()[0] < 64_000_000 else hits
-    joined = docs.join(hits, blob_of(F.coalesce(docs["text"], F.lit(""))) == F.col("hit_blob"), "left")
+    scanned_paths(docs, ledger)
+    hits = written(ledger.rows().where("spans <> ''").select(F.col("blob").alias("hit_blob"), F.col("spans").alias("hit_spans")), "secret-hits")
+    n, chars = hits.agg(F.count("*"), F.coalesce(F.sum(F.length("hit_spans")), F.lit(0))).first()
+    rows = docs.select(F.struct("*").alias("doc"))
+    blob = blob_of(F.coalesce(F.col("doc.text"), F.lit("")))
+    if n <= BROADCAST_ROWS // 4 and chars < 64_000_000:
+        joined = rows.join(F.broadcast(hits), blob == F.col("hit_blob"), "left")
+    else:
+        # Only texts that a filter of the hits can't clear are shuffled.
+        perhaps = bloom_test(hits.select(F.xxhash64("hit_blob")))(F.xxhash64(blob))
+        clean = rows.where(~perhaps).select("doc", F.lit(None).cast("binary").alias("hit_blob"), F.lit(None).cast("string").alias("hit_spans"))
+        joined = clean.unionAll(rows.where(perhaps).join(hits, blob == F.col("hit_blob"), "left"))
     found = F.col("hit_spans").isNotNull()
-    clean = masked(F.coalesce("text", F.lit("")), "hit_spans")
-    new = {"text": F.when(found, clean).otherwise(F.col("text"))}
-    out = joined.withColumns(new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(found, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    joined = joined.withColumn("masked", F.when(found, masked(F.coalesce("doc.text", F.lit("")), "hit_spans")).otherwise(F.col("doc.text")))
+    new = {"text": F.col("masked"), "n_chars": F.when(found, F.length("masked").cast("long")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
+    return joined.select(*((new[c] if c in new else F.col("doc")[c]).alias(c) for c in docs.columns))

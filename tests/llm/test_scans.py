@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from packetloom.llm import decontamination, repetition, secret_scan, url_rules
@@ -53,6 +54,14 @@ def test_url_rules(spark, seed):
     assert {r.verdict for r in url_rules.judge_urls(pages, table.limit(0)).collect()} == {"allow"}
 
 
+def test_url_rules_of_odd_rows(spark):
+    rows = [(1, "http://a.org/en", "x", "y"), (1, "http://a.org/en", "x", "y"), (None, "HTTP://B.A.ORG/en/2", "x", "y"), (None, None, None, None), (2, "http://a.org/" + "z" * 200_000, "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
+    table = spark.createDataFrame([("a.org", "/en", "block"), ("a.org", "/en", "allow"), ("A.org", "/", "allow"), ("org", "/en/2", "allow")], "host string, path string, verdict string")
+    got = sorted((str(r.page_id), r.host, str(r.rule), r.verdict) for r in url_rules.judge_urls(pages, table).collect())
+    assert got == sorted([("1", "a.org", "a.org/en", "block")] * 2 + [("None", "b.a.org", "a.org/en", "block"), ("None", "", "None", "allow"), ("2", "a.org", "a.org/", "allow")])
+
+
 # ---- secrets
 
 
@@ -88,6 +97,28 @@ def test_ledger_scans_only_new_blobs(spark):
     assert len(after) == 4 and all(r in after for r in before)
 
 
+def test_ledger_scans_each_new_blob_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr("packetloom.llm.common.BLOOM_BITS", 1 << 7)  # so full that rows are kept back by mistake
+    ledger = secret_scan.BlobLedger(spark)
+    rows = [(k % 90, f"token = abcdefgh{k % 70}") for k in range(300)] + [(None, "password=hunter22"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for part in (docs.where("doc_id < 40"), docs, docs):
+        got = secret_scan.scan_secrets(part, ledger)
+        assert got.count() == part.count() and got.where("base_sha256 is null").count() == 0
+    assert ledger.rows().count() == ledger.spark.read.parquet(ledger.path).count() == 72
+
+
+def test_bloom_test_knows_all_keys(spark):
+    from pyspark.sql import functions as F
+
+    from packetloom.llm.common import bloom_test
+
+    keys = spark.range(3000).select(F.xxhash64("id").alias("k"))
+    assert keys.where(bloom_test(keys)("k")).count() == 3000
+    assert spark.range(3000, 23_000).where(bloom_test(keys)(F.xxhash64("id"))).count() < 800
+
+
 @pytest.mark.parametrize("most", [0, 1000])
 def test_redact(spark, monkeypatch, most):
     monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", most)
@@ -123,6 +154,13 @@ def test_short_last_line_of_a_cut_key():
 # ---- repetition
 
 
+def test_repetition_of_odd_rows(spark):
+    rows = [(1, "a b c " * 30, 5), (1, "a b c " * 30, 5), (1, None, 5), (None, "x y", 5), (None, "", 5), (2, "w" * 300_000, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int")
+    got = sorted((str(r.doc_id), r.n_words, r.word_chars, r.base_failed, r.kept) for r in repetition.repetition_rules(docs).collect())
+    assert got == sorted([("1", 90, 90, True, False), ("1", 90, 90, True, False), ("1", 0, 0, True, False), ("None", 2, 2, True, False), ("None", 0, 0, True, False), ("2", 1, 300_000, True, False)])
+
+
 def test_repetition(spark, sf_dir):
     texts = sample_texts(spark, sf_dir) + ODD
     got = repetition.repetition_rules(docs_of(spark, texts)).collect()
@@ -209,18 +247,59 @@ def test_passage_blocks_and_pieces(spark, monkeypatch):
     bench = spark.createDataFrame([(1, long), (2, " ".join(words[220:260])), (3, " ".join(words[260:300]))], "item_id long, text string")
     docs = docs_of(spark, [f"x {long} y", " ".join(words[210:270]), " ".join(words[90:150]), "none"])
     got = {(r.doc_id, r.item_id) for r in decontamination.find_passages(docs, bench).collect()}
-    assert got == {(0, 1), (1, 2)}
+    # 60 running words (419 characters) of a long item are more than the 399 that are sure to be found.
+    assert got == {(0, 1), (1, 2), (2, 1)}
+
+
+def random_words(seed, n):
+    rng = random.Random(seed)
+    return ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+
+
+def test_a_long_item_is_one_region_whole_or_cut():
+    long = " ".join(random_words(6, 715))[:5000].strip()
+    index = decontamination.PassageIndex([(1, long), (2, " ".join(random_words(7, 300)))])
+    half = long[: len(long) // 2]
+    for text, edits in ((f"zz {long} zz", 0), (f"zz {half} zz", 0), (f"{half[:900]}qq{half[902:]} zz", 2), (f"{half[:900]}{half[905:]} zz", 5)):
+        (item, start, end, found), = index.search(text)
+        assert (item, found) == (1, edits) and abs((end - start) - (len(text) - 6 if text[0] == "z" else len(text) - 3)) <= 60
+    assert {x[0] for x in index.search(f"{half} filler {long[3000:3500]}")} == {1} and len(index.search(f"{half} filler {long[3000:3500]}")) == 2
+    assert not index.search(long[100:250])
+
+
+def test_ten_million_characters_are_one_pass(spark):
+    rng = np.random.default_rng(3)
+    items = [(k, rng.integers(97, 123, 100_000, np.uint8).tobytes().decode()) for k in range(99)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    (shared,) = decontamination.shared_indexes(spark, bench)
+    docs = docs_of(spark, [f"x {items[5][1][700:1200]} y", "nothing of the kind", items[98][1]])
+    got = decontamination.find_passages(docs, bench).collect()
+    assert [(r.doc_id, r.item_id, r.edits) for r in sorted(got)] == [(0, 5, 0), (2, 98, 0)]
+    shared.destroy()
+
+
+def test_decontamination_odd_rows(spark):
+    bench = spark.createDataFrame([(1, " ".join(random_words(8, 20)))], "item_id long, text string")
+    text = f"a {' '.join(random_words(8, 20))} b"
+    rows = [(1, text, 7, "s"), (1, text, 7, "s"), (None, text, 7, "s"), (2, None, None, None), (None, "", 0, "s"), (3, "clean " * 9, 1, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, edits int, start string")
+    got = decontamination.find_passages(docs, bench).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "None"] and {r.edits for r in got} == {0}
+    left = decontamination.drop_contaminated(docs, bench)
+    assert left.columns == docs.columns and sorted(map(str, left.collect())) == sorted(map(str, docs.where("text is null or length(text) < 100").collect()))
+    assert decontamination.find_passages(docs.limit(0), bench).count() == 0 and decontamination.drop_contaminated(docs.limit(0), bench).count() == 0
 
 
 def test_stretches_of_long_passages(spark):
     rng = random.Random(5)
     long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(220))
     index = decontamination.PassageIndex([(1, long)])
-    stretch = 699
+    stretch = decontamination.PIECE_CHARS + decontamination.PIECE_STEP - 1
     for a in [*range(0, len(long) - stretch, 37), len(long) - stretch]:
         got = index.search(f"{long[a:a + 9].upper()}{long[a + 9 : a + stretch]}")
-        assert [x[0] for x in got] == [1] and got[0][3] == 0
-    assert [(x[0], x[3]) for x in index.search(long)] == [(1, 0), (1, 0)]
+        # A passage that the text lacks a few characters of, at either end, is part of the region.
+        assert [x[0] for x in got] == [1] and got[0][3] <= 2 * int(decontamination.EDIT_RATE * decontamination.PIECE_CHARS)
+    assert [(x[0], x[3]) for x in index.search(long)] == [(1, 0)]
     bench = spark.createDataFrame([(1, long)], "item_id long, text string")
     edited = long[100:500] + "zz" + long[502:800] + long[803:1100]
     left = decontamination.drop_contaminated(docs_of(spark, [f"x {long[100:1100]} y", edited, "none"]), bench)
