@@ -45,6 +45,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` has no urls, so its source stands for the host and its language for the path."""
     return site_quality.judge_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
 
 

@@ -3,7 +3,8 @@
 A logistic model on a text's shape gives each document's own evidence. Evidence and labels are summed by host and by
 path in grouped aggregations; a host's quality is shrunk toward the global rate and a path's toward its host's, by
 prior strengths that the spread between groups sets (method of moments). A document's score combines the posterior of
-its path, in log odds, with its own evidence. No text is shuffled: only numbers are grouped and joined.
+its path, in log odds, with its own evidence. Its own label and evidence are left out of the posteriors that it gets, so
+they count once. No text is shuffled: only numbers are grouped and joined.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import fold, split_words, written
+from packetloom.llm.common import fold, slices, small_batches, split_words, written
 
 HELD_OUT = 0
 #: The sample of labelled rows that the document model is fitted on: at most so many of each label.
@@ -81,8 +82,11 @@ def log_odds(rate: Column) -> Column:
 
 
 def strength(groups: DataFrame, prior: Column) -> float:
-    """How many documents the prior is worth: the method of moments on groups (k of n), within fixed bounds."""
-    enough = groups.where("n >= 2")
+    """How many documents the prior is worth: the method of moments on groups (k of n), within fixed bounds.
+
+    Groups of weight up to 1 say nothing about the spread and are left out here alone.
+    """
+    enough = groups.where("n > 1")
     residual = F.col("k") - F.col("n") * prior
     row = enough.agg(F.sum(residual * residual), F.sum(F.col("n") * prior * (1 - prior)), F.sum(F.col("n") * (F.col("n") - 1) * prior * (1 - prior))).first()
     if not row[0] or not row[2]:
@@ -95,17 +99,16 @@ def judge_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column
     """Score every row of ``docs`` (``doc_id``, ``text``) for quality, with its site given by ``host`` and ``path``.
 
     ``labels`` (``doc_id``, ``quality``) outside the held-out fold are learnt. Returns doc_id, held_out, evidence,
-    host_rate, path_rate, score and kept (score >= 0.5). Null hosts and paths are sites of their own; null texts are
+    host_rate and path_rate (what the other documents there say), score and kept (score >= 0.5). Null hosts and paths are sites of their own; null texts are
     empty; repeated rows and null ids are scored, and counted for their site, like any other; null labels are left out;
     without labels every rate is one half; an empty table gives no rows; other columns are not read.
     """
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col("text").cast("string").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, 3, 1024):
                 x = text_features(part.column(3))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), lists], schema=_FEATURES)
@@ -135,15 +138,18 @@ def judge_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column
     weight = F.when(F.col("y").isNotNull(), F.lit(1.0)).otherwise(F.lit(EVIDENCE_WEIGHT))
     good = F.coalesce(F.col("y"), rate_of(F.col("evidence")))
     paths = written(scored.groupBy("host", "path").agg(F.sum(weight).alias("n"), F.sum(weight * good).alias("k")), "path-counts")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    total = hosts.agg(F.sum("k"), F.sum("n")).first()
+    hosts = written(paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("k").alias("host_k")), "host-counts")
+    total = hosts.agg(F.sum("host_k"), F.sum("host_n")).first()
     base = float((total[0] + 0.5) / (total[1] + 1.0)) if total[1] else 0.5
-    a = strength(hosts, F.lit(base))
-    hosts = written(hosts.select("host", ((F.col("k") + a * base) / (F.col("n") + a)).alias("host_rate")), "host-rates")
+    a = strength(hosts.select(F.col("host_n").alias("n"), F.col("host_k").alias("k")), F.lit(base))
+    shrunk = lambda k, n, prior, worth: (k + worth * prior) / (n + worth)
     paths = paths.join(hosts, "host")
-    b = strength(paths, F.col("host_rate"))
-    paths = paths.select("host", "path", "host_rate", ((F.col("k") + b * F.col("host_rate")) / (F.col("n") + b)).alias("path_rate"))
-    out = scored.join(written(paths, "path-rates"), ["host", "path"])
+    b = strength(paths, shrunk(F.col("host_k"), F.col("host_n"), F.lit(base), a))
+    out = scored.join(written(paths, "site-counts"), ["host", "path"])
+    # What the other documents of the host and of the path say.
+    out = out.withColumn("host_rate", shrunk(F.col("host_k") - weight * good, F.greatest(F.col("host_n") - weight, F.lit(0.0)), F.lit(base), a))
+    out = out.withColumn("path_rate", shrunk(F.col("k") - weight * good, F.greatest(F.col("n") - weight, F.lit(0.0)), F.col("host_rate"), b))
+    out = out.withColumn("path_rate", F.least(F.greatest("path_rate", F.lit(1e-9)), F.lit(1 - 1e-9)))
     # The site moves a document's own odds by how far its path stands from the global rate.
     moved = F.col("evidence") + log_odds(F.col("path_rate")) - F.lit(float(np.log(base / (1 - base))))
     out = out.withColumn("score", rate_of(moved))

@@ -66,6 +66,7 @@ def test_near_duplicates(spark, sf_dir, monkeypatch, blocks):
     if blocks:
         monkeypatch.setattr(near_dedup, "BLOCK", 7)
         monkeypatch.setattr(near_dedup, "STRAGGLERS", 3)
+        monkeypatch.setattr(near_dedup, "CROWDED", 9)
         monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
     rng = random.Random(7)
     rows = sample(spark, sf_dir) if not blocks else []
@@ -86,6 +87,42 @@ def test_near_duplicates(spark, sf_dir, monkeypatch, blocks):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_rows_of_a_template_grow_with_members(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 64)
+    monkeypatch.setattr(near_dedup, "STRAGGLERS", 16)
+    monkeypatch.setattr(near_dedup, "CROWDED", 64)
+    template = [f"t{k}" for k in range(70)]
+    counts = []
+    for members in (500, 1000):
+        rows = [(k, " ".join(template + [f"w{k}x{j}" for j in range(30)])) for k in range(members)]
+        rows += [(members, " ".join(template + [f"w0x{j}" for j in range(29)]))]
+        docs = docs_of(spark, rows)
+        band = docs.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("band"), F.col("doc_id").alias("id"), F.col("doc_id").alias("component"))
+        made = near_dedup.dealt(near_dedup.bucket_members(band, docs))
+        groups = defaultdict(lambda: ([], []))
+        for r in made.collect():
+            groups[r.crowded, r.band, r.block, r.group][r.straggler].append(r.id)
+        assert any(0 in left and members in all_ or members in left and 0 in all_ for all_, left in groups.values())
+        counts.append(sum(len(a) + len(b) for a, b in groups.values()))
+    assert counts[1] <= 2.2 * max(counts[0], 1) and counts[1] < 100
+
+
+@pytest.mark.parametrize("crowded", [4, 12])
+def test_crowded_buckets_keep_links(spark, monkeypatch, crowded):
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "STRAGGLERS", 4)
+    monkeypatch.setattr(near_dedup, "CROWDED", crowded)
+    monkeypatch.setattr(near_dedup, "RARE", 2)
+    rng = random.Random(9)
+    template, rows = [f"t{k}" for k in range(60)], []
+    for k in range(90):
+        own = [f"w{k // 3}x{j}" for j in range(rng.randrange(4, 40))] + [f"u{k}x{j}" for j in range(rng.randrange(6))]
+        rows.append((k, " ".join(template + own)))
+    got = near_dedup.near_duplicates(docs_of(spark, rows)).collect()
+    want = components(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want and 1 < len({c for _, c in want.values()}) < 90
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (0, "A b c d e f"), (None, None)]
     got = sorted(((-1 if r.doc_id is None else r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()), key=str)
@@ -164,9 +201,116 @@ def test_lattice_scores(spark, sf_dir, monkeypatch):
     assert lattice_lm.lattice_scores(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_lattice_scores_are_brute_force(spark):
+    rows = [(k, t) for k, t in enumerate(["The cat sat.", "a Cat, éa", "sat sat 東 the", None, "", "cat's naïve \U0001f600", "the end", "end of the cat"])] + [(6, "the end"), (None, "zebra")]
+    model = lattice_lm.load_pieces(lattice_lm.default_vocabulary())
+    words = lambda t: WORD.findall((t or "").translate(LOWER))
+    n, size = Counter(), model.get_piece_size()
+    for i, t in rows:
+        if zlib.crc32(str("" if i is None else i).encode()) % 5 != 1:
+            n.update(p for w in words(t) for p in model.encode(w))
+            n[model.eos_id()] += 1
+    prior = [1 / (max(-model.get_score(k), 0) + 10) for k in range(size)]
+    weight = [n[k] + lattice_lm.PRIOR_TOKENS * prior[k] / sum(prior) for k in range(size)]
+    p = {model.id_to_piece(k): w / sum(weight) for k, w in enumerate(weight)}
+
+    def total(text, known):
+        if text not in known:
+            out = 0.0
+            for k in range(1, len(text) + 1):
+                if text[:k] in p and text[:k] not in ("<unk>", "<s>", "</s>"):
+                    out += p[text[:k]] * total(text[k:], known)
+                elif k == 1:
+                    out += math.prod(p[f"<0x{b:02X}>"] for b in text[0].encode()) * total(text[1:], known)
+            known[text] = out
+        return known[text]
+
+    want = sorted((str(i), sum(math.log10(total("▁" + w, {"": 1.0})) for w in words(t)) + math.log10(p["</s>"])) for i, t in rows)
+    got = sorted((str(r.doc_id), r.score) for r in lattice_lm.lattice_scores(docs_of(spark, rows)).collect())
+    assert [x[0] for x in got] == [x[0] for x in want] and np.allclose([x[1] for x in got], [x[1] for x in want], rtol=1e-9)
+
+
 # ---- toxicity
 
 
+def plain_logit(net, x, codes):
+    """The network's logit of one window, step by step."""
+    p, k = net.p, toxicity.HIDDEN
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    real, states = [t for t, c in enumerate(codes) if c < len(x)], {}
+    for d, order in (("f", real), ("b", real[::-1])):
+        h = np.zeros(k)
+        for t in order:
+            given, own = x[codes[t]] @ p[f"W{d}"] + p[f"c{d}"], h @ p[f"U{d}"]
+            r, z = sigmoid(given[:k] + own[:k]), sigmoid(given[k : 2 * k] + own[k : 2 * k])
+            n = np.tanh(given[2 * k :] + r * own[2 * k :])
+            h = (1 - z) * n + z * h
+            states[t, d] = h
+    if not real:
+        return float(p["b"][0])
+    both = np.array([np.concatenate([states[t, "f"], states[t, "b"]]) for t in real])
+    a = np.exp(both @ p["v"] - (both @ p["v"]).max())
+    return float((a / a.sum()) @ both @ p["w"] + p["b"][0])
+
+
+def test_scores_are_brute_force():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["trash", "good", "é", "x", "Mixed"]) for _ in range(n)) for n in (1, 47, 48, 49, 130)] + [None, "", " \n"]
+    net = toxicity.Network(4)
+    head = (np.full(toxicity.TOP + 2, 0.3), np.full(toxicity.TOP + 2, 1.7), np.linspace(-1, 1, toxicity.TOP + 3))
+    got = toxicity.Scorer(net, head).scores(pa.array(texts))
+    names = ["trash", "good", "é", "x", "mixed"]
+    for k, name in enumerate(names):
+        words = toxicity.Vocabulary(pa.array([name]))
+        grams = [net.p["gram"][g] for g in words.grams]
+        marked = f"\x02{name}\x03"
+        assert len(grams) == sum(max(0, len(marked) - n + 1) for n in toxicity.GRAMS)
+        names[k] = (name, np.concatenate([net.p["word"][words.words[0]], np.sum(grams, axis=0) / math.sqrt(len(grams))]))
+    index, x = {n: k for k, (n, _) in enumerate(names)}, np.array([v for _, v in names])
+    for text, score in zip(texts, got):
+        own = [index[w.lower()] for w in (text or "").split()]
+        starts = [0] if len(own) <= 48 else range(0, 32 * -(-(len(own) - 48) // 32) + 1, 32)
+        logits = sorted((plain_logit(net, x, own[a : a + 48]) for a in starts), reverse=True)
+        worst = [min(max(v, -6), 8) for v in logits[:3]] + [-6.0] * (3 - len(logits[:3]))
+        evidence = [*worst, math.log1p(sum(1 / (1 + math.exp(-v)) for v in logits)), math.log1p(len(logits))]
+        z = sum(w * (e - 0.3) / 1.7 for w, e in zip(head[2], evidence)) + head[2][-1]
+        assert math.isclose(score, 1 / (1 + math.exp(-z)), rel_tol=1e-4), text
+
+
+def test_training_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 5)
+    monkeypatch.setattr(toxicity, "SAMPLE_WINDOWS", 3)
+    rows = [(k, f"text {k}", 0.5, 1) for k in range(30)] + [(3, "a first", 0.1, 0), (3, None, 0.1, 0), (4, "w " * 5000, 0.2, 1), (None, "none", 0.2, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, toxic int")
+    labels = spark.createDataFrame([(k, 0) for k in range(30)] + [(3, 1), (3, 0), (7, 1), (8, None), (None, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.training_sample(docs, labels).collect()}
+    held = {k for k in range(30) if zlib.crc32(str(k).encode()) % 5 == 0}
+    assert {k for k, r in got.items() if r.toxic} == {3, 7} - held and sum(1 - r.toxic for r in got.values()) == 5 and not set(got) & held
+    assert 3 in held or got[3].text == ""
+    batch = pa.RecordBatch.from_arrays([pa.array([4, 9]), pa.array([1, 0], pa.int32()), pa.array([" ".join(f"w{k}" for k in range(5000)), None])], names=["doc_id", "toxic", "text"])
+    made = pa.Table.from_batches(toxicity.sample_windows(iter([batch]))).to_pylist()
+    assert [r["doc_id"] for r in made] == [4, 4, 4, 9] and made[-1]["text"] == "" and len({r["place"] for r in made[:3]}) == 3
+    assert all(r["text"].split() == [f"w{k}" for k in range(32 * r["place"], min(5000, 32 * r["place"] + 48))] for r in made[:3])
+
+
+def test_toxicity_of_equal_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "STEPS", 60)
+    rng = random.Random(3)
+    bad, good = ["you", "awful", "trash"], ["fine", "lovely", "weather"]
+    text = lambda k: " ".join(rng.choice(bad if k % 3 == 0 else good) for _ in range(20))
+    rows = [(k, text(k)) for k in range(240)]
+    rows += [(500, rows[0][1]), (500, rows[1][1]), (None, rows[0][1])]
+    docs = spark.createDataFrame([(i, t, 9.0, 1) for i, t in rows], "doc_id long, text string, score double, toxic int")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(240)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, labels).collect()
+    assert len(got) == len(rows)
+    first = next(r.score for r in got if r.doc_id == 0)
+    assert sorted(r.predicted for r in got if r.doc_id == 500) == [0, 1] and next(r.score for r in got if r.doc_id is None) == pytest.approx(first, abs=1e-6)
+    assert sum(r.predicted == (r.doc_id % 3 == 0) for r in got if r.doc_id is not None and r.doc_id < 240) > 235
+    left = toxicity.reject_toxic(docs, labels)
+    assert left.columns == docs.columns and left.where("doc_id is null").count() == 0
+
+
 def test_gradients():
     words = toxicity.Vocabulary(pa.array(["trash", "is", "bad", "é"]))
     codes = np.array([[0, 1, 2, 3, 4, 4], [3, 3, 0, 4, 4, 4], [1, 2, 3, 0, 1, 2]])
@@ -247,6 +391,48 @@ def test_site_quality(spark):
     assert got.count() == docs.count()
 
 
+def test_site_posteriors_are_brute_force(spark):
+    rng = random.Random(12)
+    texts = ["Fine words here, and more of them. " * 12, "### $$$ ||| ### $$$ 12 12", "Some words *** of the &&& middling kind 7 7 7"]
+    rows = [(k, texts[min(2, rng.randrange(4))], f"h{min(rng.randrange(9), 5)}", f"p{rng.randrange(3)}", 1.0, "x") for k in range(150)]
+    rows += [(3, texts[1], "h1", "p0", 0.0, "x"), (None, texts[0], "h1", "p0", 0.0, "x"), (900, texts[0], "lone", "p0", 0.0, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, site string, part string, evidence double, y string")
+    marks = {k: int(rows[k][1] != texts[1]) for k in range(0, 150, 3)}
+    labels = spark.createDataFrame([(k, q, 0) for k, q in marks.items()], "doc_id long, quality int, toxic int")
+    got = site_quality.judge_quality(docs, labels, F.col("site"), F.col("part")).collect()
+    sites = {(i, t): (h, p) for i, t, h, p, _, _ in rows}
+    learnt = {k: q for k, q in marks.items() if zlib.crc32(str(k).encode()) % 5 != 0}
+    by_text = {t: {round(r.evidence, 9) for r in got for i, x in sites if i == r.doc_id and x == t and sum(j == i for j, _ in sites) == 1} for t in texts}
+    assert all(len(v) == 1 for v in by_text.values())
+    items = []
+    for i, t, h, p, _, _ in rows:
+        e = next(iter(by_text[t]))
+        y = learnt.get(i)
+        items.append((i, h, p, e, 1.0 if y is not None else 0.25, float(y) if y is not None else 1 / (1 + math.exp(-e))))
+    total = lambda keep: (sum(x[4] * x[5] for x in items if keep(x)), sum(x[4] for x in items if keep(x)))
+    k, n = total(lambda x: True)
+    base = (k + 0.5) / (n + 1)
+
+    def worth(groups):
+        groups = [(k, n, q) for k, n, q in groups if n > 1]
+        rho = (sum((k - n * q) ** 2 for k, n, q in groups) - sum(n * q * (1 - q) for _, n, q in groups)) / sum(n * (n - 1) * q * (1 - q) for _, n, q in groups)
+        return min(max(1 / rho - 1, site_quality.STRENGTH_LEAST), site_quality.STRENGTH_MOST) if rho > 0 else site_quality.STRENGTH_MOST
+
+    hosts = {x[1]: total(lambda y, h=x[1]: y[1] == h) for x in items}
+    paths = {x[1:3]: total(lambda y, s=x[1:3]: y[1:3] == s) for x in items}
+    a = worth([(k, n, base) for k, n in hosts.values()])
+    b = worth([(k, n, (hosts[s[0]][0] + a * base) / (hosts[s[0]][1] + a)) for s, (k, n) in paths.items()])
+    want = []
+    for i, h, p, e, w, g in items:
+        host = (hosts[h][0] - w * g + a * base) / (hosts[h][1] - w + a)
+        path = (paths[h, p][0] - w * g + b * host) / (paths[h, p][1] - w + b)
+        odds = e + math.log(path / (1 - path)) - math.log(base / (1 - base))
+        want.append((str(i), host, path, 1 / (1 + math.exp(-odds))))
+    mine = sorted((str(r.doc_id), r.host_rate, r.path_rate, r.score) for r in got)
+    assert [x[0] for x in mine] == [x[0] for x in sorted(want)]
+    assert np.allclose([x[1:] for x in mine], [x[1:] for x in sorted(want)], rtol=1e-6)
+
+
 def test_site_shrinkage_and_odd_rows(spark):
     good, bad = "Fine words here, and more of them. " * 20, "### $$$ ||| ### $$$"
     rows = [(k, good if k < 40 else bad, "good.example" if k < 40 else "bad.example") for k in range(80)] + [(900, good, "bad.example"), (901, good, None), (None, None, "new.example")]
