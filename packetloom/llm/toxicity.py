@@ -235,15 +235,17 @@ def fit_head(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 class Scorer:
-    """A trained network and the model over its windows."""
+    """A trained network and the model over its windows; ``blank`` is the score of texts without words."""
 
-    def __init__(self, net: Network, head: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        self.net, self.head = net, head
+    def __init__(self, net: Network, head: tuple[np.ndarray, np.ndarray, np.ndarray], blank: float):
+        self.net, self.head, self.blank = net, head, blank
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         mean, scale, w = self.head
         z = (text_evidence(self.net, texts) - mean) / scale
-        return 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -30, 30)))
+        found = 1 / (1 + np.exp(-np.clip(z @ w[:-1] + w[-1], -30, 30)))
+        bare = pc.equal(pc.binary_length(pc.ascii_trim_whitespace(pc.fill_null(texts, ""))), 0)
+        return np.where(np.asarray(bare), self.blank, found)
 
 
 def text_evidence(net: Network, texts: pa.Array) -> np.ndarray:
@@ -373,8 +375,9 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Scorer | float:
     """
     sample = training_sample(docs, labels).withColumn("apart", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(APART)) == 0)
     counts = {(r.apart, r.toxic): r["count"] for r in sample.groupBy("apart", "toxic").count().collect()}
+    share = (sum(n for (_, toxic), n in counts.items() if toxic) + 0.5) / (sum(counts.values()) + 50.0)
     if len(counts) < 4:
-        return (sum(n for (_, toxic), n in counts.items() if toxic) + 0.5) / (sum(counts.values()) + 50.0)
+        return share
     net = trained_network(sample.where("not apart"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
@@ -387,7 +390,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Scorer | float:
     got = sample.where("apart").select("doc_id", "toxic", "text").mapInArrow(measure, "doc_id long, toxic int, x array<double>")
     rows = sorted(got.collect())
     shared.destroy()
-    return Scorer(net, fit_head(np.array([r.x for r in rows]), np.array([r.toxic for r in rows], float)))
+    return Scorer(net, fit_head(np.array([r.x for r in rows]), np.array([r.toxic for r in rows], float)), share)
 
 
 def scorer(docs: DataFrame, labels: DataFrame):
@@ -409,8 +412,8 @@ def scorer(docs: DataFrame, labels: DataFrame):
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every row of ``docs`` (``doc_id``, ``text``), learning from ``labels`` (``doc_id``, ``toxic``) outside the held-out fold.
 
-    Returns doc_id, held_out, score (0 to 1) and predicted (1 from 0.5 on). Null and empty texts get the score of no
-    words at all; equal texts get equal scores. Repeated rows and null ids are scored like any other; null labels are left
+    Returns doc_id, held_out, score (0 to 1) and predicted (1 from 0.5 on). Texts without words, null ones among them,
+    get the smoothed share of toxic documents in the sample; equal texts get equal scores. Repeated rows and null ids are scored like any other; null labels are left
     out, and an id with both labels counts as toxic; without labels of both kinds every score is the smoothed share of
     toxic ones; an empty table gives no rows; other columns are not read.
     """
