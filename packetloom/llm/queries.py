@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from packetloom.llm import (
     decontamination,
+    exact_dedup,
+    filter_audit,
     lattice_lm,
     near_dedup,
     packing,
+    phrases,
     repetition,
     secret_scan,
     site_quality,
@@ -69,9 +72,22 @@ def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.lattice_scores(documents(spark, sf_dir))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(documents(spark, sf_dir))
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES = (
     op1_token_output, op2_best_fit_packing, op3_decontamination, op4_toxicity, op5_site_quality,
     op6_secret_scan, op7_url_rules, op8_near_dedup, op9_repetition_rules, op10_lattice_lm,
+    op11_exact_dedup, op12_phrase_mining, op13_filter_audit,
 )
 
 OP7_SQL = """
@@ -120,9 +136,50 @@ SELECT *, NOT base_failed AND NOT ({over}) AS kept FROM judged
 """
 
 
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents),
+r AS (SELECT doc_id, h, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS turn, count(*) OVER (PARTITION BY h) AS group_size FROM t WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id))
+SELECT doc_id, keep_id, group_size, turn = 1 AS kept, h AS text_sha256 FROM r
+"""
+
+OP12_SQL = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM words, range(1, 6) s(m) WHERE len(w) >= m)
+  GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT f.lang, f.m, phrase, a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS lp, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rp FROM f, range(1, 5) s(k) WHERE k < f.m),
+scored AS (SELECT c.lang, c.m, c.phrase, c.a, k, lp, rp, x.a AS l, y.a AS r, t.n, (1000::HUGEINT * c.a * t.n) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = lp JOIN f y ON y.lang = c.lang AND y.phrase = rp JOIN totals t ON t.lang = c.lang),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT g.lang, array_to_string(string_split(g.phrase, ' ')[i:i + m2 - 1], ' ') AS phrase, g.a FROM f g, range(2, 5) s(m2), range(1, 6) t(i) WHERE m2 < g.m AND i + m2 - 1 <= g.m),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.a >= 100 * b.a)),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+OP13_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+f AS (SELECT t.doc_id, part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic, len(words) < 100 AS A, 100 * len(list_distinct(words)) < 80 * len(words) AS B,
+  100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS C, regexp_matches(text, '[#$%&*|]') AS D, t.doc_id > min(t.doc_id) OVER (PARTITION BY text) AS E
+  FROM t LEFT JOIN labels ON labels.doc_id = t.doc_id),
+m AS (SELECT part, (CASE WHEN A THEN 'A' ELSE '' END) || (CASE WHEN B THEN 'B' ELSE '' END) || (CASE WHEN C THEN 'C' ELSE '' END) || (CASE WHEN D THEN 'D' ELSE '' END) || (CASE WHEN E THEN 'E' ELSE '' END) AS mask,
+  count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE length(replace(replace(replace(replace(replace('ABCDE', a.x, ''), b.x, ''), c.x, ''), d.x, ''), e.x, '')) = 0),
+h AS (SELECT part, filter_order, step, substr(filter_order, step::INT, 1) AS x, n, good, toxic, mask,
+  length(translate(substr(filter_order, 1, step::INT - 1), mask, '')) = step - 1 AS there FROM m, o, range(1, 6) s(step)),
+g AS (SELECT part, filter_order, step::INT AS step, x, sum(CASE WHEN there AND contains(mask, x) THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN NOT there AND contains(mask, x) THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN there AND NOT contains(mask, x) THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN mask = x THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN there AND contains(mask, x) THEN good ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN there AND contains(mask, x) THEN toxic ELSE 0 END)::BIGINT AS toxic_lost FROM h GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM g
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_rules": OP7_SQL, "op9_repetition_rules": op9_sql()}
+    return {"op7_url_rules": OP7_SQL, "op9_repetition_rules": op9_sql(), "op11_exact_dedup": OP11_SQL, "op12_phrase_mining": OP12_SQL, "op13_filter_audit": OP13_SQL}
