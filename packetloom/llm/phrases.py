@@ -2,9 +2,10 @@
 
 1. Texts become blocks of one language: a dictionary of words and a code for each position, pieces parted by a mark.
    The blocks are written once; all later passes are numpy over their codes.
-2. Windows of 1 to 5 words are hashed into count tables of a fixed size, whose shards are summed. A window can only be
-   frequent if its own bucket and those of all windows inside it reach the least count; a bucket never counts too
-   little, so no frequent phrase is lost (Apriori-safe). The windows that pass are the candidates.
+2. For 1 to 5 words in turn, the windows whose parts have passed are hashed into count tables of a fixed size, and the
+   tasks' tables are summed in spans. A window can only be frequent if its own bucket and those of all windows inside it
+   reach the least count; a bucket never counts too little, so no frequent phrase is lost (Apriori-safe). The windows
+   that pass are the candidates. What a task sends is bounded by the table and by its distinct windows.
 3. Candidates are dealt into shards of bounded size, and a task builds the double-array trie of each.
 4. Tries are broadcast, a bounded number at a time. In every block all text positions advance through the trie at once,
    word by word: ``next = base[state] + label``, kept where ``check[next] == state``. States reached are counted by
@@ -17,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -26,14 +28,13 @@ from pyspark.sql import functions as F
 from packetloom.llm.common import slices, small_batches, written
 
 LONGEST = 5
-#: Words to a bucket of the count tables, and the least and most buckets of each (powers of 2).
-BUCKET_WORDS, BUCKET_BITS = 32, (16, 25)
-#: Buckets in a row while tables are summed (a power of 2).
-SPAN_BITS = 16
+#: Buckets of a count table and of a row of it while tables are summed, as powers of 2. One more bit is 32 MB more in a
+#: worker. A level's table parts windows well while its windows, over its buckets, are fewer than the least count.
+BUCKET_BITS, SPAN_BITS = 25, 16
 #: Phrases in a trie (about 20 MB), and tries broadcast at once.
 TRIE_PHRASES, TRIES_AT_ONCE = 500_000, 2
-#: Phrases that a task remembers so as not to report them again.
-REMEMBERED = 500_000
+#: Phrases that a task gathers before it reports them, and the lists into which all reports are dealt by hash.
+REMEMBERED, DEALS = 500_000, 512
 
 STEP, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -87,28 +88,33 @@ def read_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Arr
             yield batch.column(0)[k].as_py(), batch.column(1)[k].values, np.frombuffer(codes, np.uint16 if len(codes) == 2 * n else np.uint32).astype(np.int64)
 
 
-def window_buckets(lang: str, words: pa.Array, codes: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For windows of 1, 2, ... words: the bucket of each window, and whether it lies within a piece."""
+def windows(lang: str, words: pa.Array, codes: np.ndarray, frequent: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For m = 1, 2, ...: the places of the windows of m words whose parts all passed, their buckets, and which of these
+    pass. The level after the last of ``frequent`` (packed bits of a level in each row) comes last, with no verdicts."""
     seed = xxhash.xxh3_64_intdigest(lang)
     own = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words.to_pylist()), np.uint64, len(words))
-    own = np.append(own, np.uint64(0))[codes]
-    whole, rolling = codes < len(words), own
-    good = whole
+    at = np.flatnonzero(codes < len(words))
+    rolling = own[codes[at]]
     for m in range(1, LONGEST + 1):
-        if m > 1:
-            rolling = rolling[:-1] * STEP + own[m - 1 :]
-            good = good[:-1] & whole[m - 1 :]
-        yield ((rolling * SPREAD) >> np.uint64(64 - bits)).astype(np.int64), good
-        if len(good) < 2:
+        if m > 1:  # both windows of m - 1 words passed; they overlap or adjoin, so they lie in one piece
+            both = np.flatnonzero(at[1:] == at[:-1] + 1)
+            at = at[both]
+            rolling = rolling[both] * STEP + own[codes[at + m - 1]]
+        bucket = ((rolling * SPREAD) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        if m > len(frequent):
+            yield m, at, bucket, np.zeros(0, bool)
             return
+        passed = frequent[m - 1][bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1 == 1
+        yield m, at, bucket, passed
+        at, rolling = at[passed], rolling[passed]
 
 
-SHARE = "level int, span long, counts binary"
-_SHARE = pa.schema([("level", pa.int32()), ("span", pa.int64()), ("counts", pa.binary())])
+SHARE = "span long, counts binary"
+_SHARE = pa.schema([("span", pa.int64()), ("counts", pa.binary())])
 
 
-def share_row(level: int, span: int, counts: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((level, span, counts), _SHARE, strict=True)], schema=_SHARE)
+def share_row(span: int, counts: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([span], pa.int64()), pa.array([counts], pa.binary())], schema=_SHARE)
 
 
 def packed_span(part: np.ndarray) -> bytes:
@@ -126,93 +132,121 @@ def add_span(total: np.ndarray, data: bytes, kind: np.dtype) -> None:
     total[np.frombuffer(data, np.uint16, n, 1)] += np.frombuffer(data, kind, n, 1 + 2 * n)
 
 
-def bucket_counts(least: int, bits: int):
-    """Each task's tables, counted up to ``least``, in spans."""
-    kind, size, span = np.min_scalar_type(least), 1 << bits, 1 << SPAN_BITS
+def bucket_counts(shared, least: int):
+    """Each task's table of the next level, counted up to ``least``, in spans."""
+    kind, span = np.min_scalar_type(least), 1 << SPAN_BITS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
-        for lang, words, codes in read_blocks(batches):
-            for m, (bucket, good) in enumerate(window_buckets(lang, words, codes, bits), 1):
-                table = tables.setdefault(m, np.zeros(size, kind))
-                at, times = np.unique(bucket[good], return_counts=True)
-                table[at] = np.minimum(table[at] + times, least)
-        for m, table in tables.items():
-            for k in range(0, size, span):
-                if (part := table[k : k + span]).any():
-                    yield share_row(m, k // span, packed_span(part))
+        table = np.zeros(1 << BUCKET_BITS, kind)
+        for block in read_blocks(batches):
+            for m, _, bucket, _ in windows(*block, shared.value):
+                if m > len(shared.value):
+                    at, times = np.unique(bucket, return_counts=True)
+                    table[at] = np.minimum(table[at] + times, least)
+        for k in range(0, len(table), span):
+            if (part := table[k : k + span]).any():
+                yield share_row(k // span, packed_span(part))
 
     return run
 
 
-def summed_buckets(least: int):
-    """Bits of the buckets that reach ``least``, from the tasks' spans sorted by level and place."""
-    kind, span = np.min_scalar_type(least), 1 << SPAN_BITS
+def summed_spans(kind: np.dtype, result, schema: str):
+    """Sums of the tasks' spans as a DataFrame function: ``result`` makes a batch of each sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = None, np.zeros(span, np.int64)
+        held, total = None, np.zeros(1 << SPAN_BITS, np.int64)
         for batch in batches:
-            for level, at, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held not in (None, (level, at)):
-                    yield share_row(*held, np.packbits(total >= least).tobytes())
+            for at, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held not in (None, at):
+                    yield result(held, total)
                     total[:] = 0
-                held = level, at
+                held = at
                 add_span(total, counts, kind)
         if held is not None:
-            yield share_row(*held, np.packbits(total >= least).tobytes())
+            yield result(held, total)
 
-    return run
+    return lambda shares: shares.repartition("span").sortWithinPartitions("span").mapInArrow(run, schema)
 
 
-def frequent_buckets(blocks: DataFrame, least: int, bits: int) -> np.ndarray:
-    """Bits (packed, a row for each level) of the buckets that reach ``least``: at most 20 MB."""
-    shares = blocks.mapInArrow(bucket_counts(least, bits), SHARE)
-    sums = shares.repartition("level", "span").sortWithinPartitions("level", "span").mapInArrow(summed_buckets(least), SHARE)
-    out = np.zeros((LONGEST, 1 << max(0, bits - SPAN_BITS), 1 << (SPAN_BITS - 3)), np.uint8)
-    for level, at, packed in zip(*(c.to_pylist() for c in sums.toArrow().columns), strict=True):
-        out[level - 1, at] = np.frombuffer(packed, np.uint8)
-    return out.reshape(LONGEST, -1)
+def frequent_buckets(blocks: DataFrame, least: int) -> np.ndarray:
+    """Packed bits of the buckets that reach ``least``, a row for each level: 4 MB each."""
+    found = np.zeros((LONGEST, 1 << (BUCKET_BITS - SPAN_BITS), 1 << (SPAN_BITS - 3)), np.uint8)
+    for level in range(LONGEST):
+        shared = blocks.sparkSession.sparkContext.broadcast(found.reshape(LONGEST, -1)[:level])
+        shares = blocks.mapInArrow(bucket_counts(shared, least), SHARE)
+        sums = summed_spans(np.min_scalar_type(least), lambda at, total: share_row(at, np.packbits(total >= least).tobytes()), SHARE)(shares)
+        for at, packed in zip(*(c.to_pylist() for c in sums.toArrow().columns), strict=True):
+            found[level, at] = np.frombuffer(packed, np.uint8)
+        shared.unpersist()
+    return found.reshape(LONGEST, -1)
 
 
-PHRASE = "lang string, phrase string"
+REPORT, PHRASE = "deal int, lang string, phrases array<string>", "lang string, phrase string"
+_REPORT = pa.schema([("deal", pa.int32()), ("lang", pa.string()), ("phrases", pa.list_(pa.string()))])
 _PHRASE = pa.schema([("lang", pa.string()), ("phrase", pa.string())])
 
 
-def surviving_windows(shared, bits: int):
+def dealt_lists(known: dict[str, set[str]]) -> Iterator[pa.RecordBatch]:
+    """The phrases as one list for each language and deal."""
+    for lang, found in known.items():
+        phrases = np.array([*found, None], object)[:-1]
+        deals = pd.util.hash_array(phrases, categorize=False) % np.uint64(DEALS)
+        order = np.argsort(deals, kind="stable")
+        cuts = np.flatnonzero(np.diff(deals[order])) + 1
+        lists = [x for x in np.split(phrases[order], cuts) if len(x)]
+        own = [int(x) for x in deals[order][np.concatenate([[0], cuts])[: len(lists)]]]
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([lang] * len(own), pa.string()), pa.array(lists, pa.list_(pa.string()))], schema=_REPORT)
+
+
+def surviving_windows(shared):
     """The windows of 2 and more words whose own bucket and those of all windows inside them are frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = [np.unpackbits(x).view(bool) for x in shared.value]
-        seen: dict[str, set[str]] = {}
+        known: dict[str, set[str]] = {}
         for lang, words, codes in read_blocks(batches):
-            alive = prefix = None
-            for m, (bucket, good) in enumerate(window_buckets(lang, words, codes, bits), 1):
-                passed = good & frequent[m - 1][bucket]
-                if m > 1:
-                    passed &= alive[:-1] & alive[1:]
-                alive, at = passed, np.flatnonzero(passed)
+            prefix = np.zeros(len(codes), np.int64)
+            for m, at, _, passed in windows(lang, words, codes, shared.value):
+                at = at[passed]
                 # Equal windows have equal prefixes and last words: a number for each distinct one.
-                key = codes[at + m - 1] if m == 1 else prefix[at] * (len(words) + 1) + codes[at + m - 1]
-                _, first, number = np.unique(key, return_index=True, return_inverse=True)
-                prefix = np.zeros(len(alive), np.int64)
+                _, first, number = np.unique(prefix[at] * (len(words) + 1) + codes[at + m - 1], return_index=True, return_inverse=True)
                 prefix[at] = number
                 if m > 1 and len(at):
                     parts = [words.take(pa.array(codes[at[first] + k])) for k in range(m)]
-                    known = seen.setdefault(lang, set())
-                    new = [x for x in pc.binary_join_element_wise(*parts, " ").to_pylist() if x not in known]
-                    known.update(new)
-                    for k in range(0, len(new), 65536):
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(new[k : k + 65536]), pa.string()), pa.array(new[k : k + 65536], pa.string())], schema=_PHRASE)
-            if sum(map(len, seen.values())) > REMEMBERED:
-                seen.clear()
+                    known.setdefault(lang, set()).update(pc.binary_join_element_wise(*parts, " ").to_pylist())
+            if sum(map(len, known.values())) > REMEMBERED:
+                yield from dealt_lists(known)
+                known.clear()
+        yield from dealt_lists(known)
 
     return run
 
 
-def candidates(blocks: DataFrame, least: int, bits: int) -> DataFrame:
+def merged_reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct phrases of each deal and language, from lists sorted by both."""
+    held, known = None, set()
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        found = list(known)
+        for k in range(0, len(found), 65536):
+            part = found[k : k + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array([held[1]] * len(part), pa.string()), pa.array(part, pa.string())], schema=_PHRASE)
+
+    for batch in batches:
+        for deal, lang, phrases in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held not in (None, (deal, lang)):
+                yield from rows()
+                known.clear()
+            held = deal, lang
+            known.update(phrases)
+    if held is not None:
+        yield from rows()
+
+
+def candidates(blocks: DataFrame, least: int) -> DataFrame:
     """``lang``, ``phrase``: every phrase of 2 to LONGEST words that can have ``least`` occurrences, and the words in them."""
-    shared = blocks.sparkSession.sparkContext.broadcast(frequent_buckets(blocks, least, bits))
-    longer = written(blocks.mapInArrow(surviving_windows(shared, bits), PHRASE).distinct(), "phrase-windows")
+    shared = blocks.sparkSession.sparkContext.broadcast(frequent_buckets(blocks, least))
+    reports = blocks.mapInArrow(surviving_windows(shared), REPORT).repartition("deal", "lang").sortWithinPartitions("deal", "lang")
+    longer = written(reports.mapInArrow(merged_reports, PHRASE), "phrase-windows")
     shared.unpersist()
     pairs = longer.where(F.size(F.split("phrase", " ")) == 2)
     return longer.unionByName(pairs.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct())
@@ -290,12 +324,12 @@ def build_trie(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array([v], f.type) for v, f in zip(values, _TRIE, strict=True)], schema=_TRIE)
 
 
-REACHED = "shard long, slot long, n long"
+REACHED = "shard long, slot long, a long"
 _REACHED = pa.schema([(c.split()[0], pa.int64()) for c in REACHED.split(", ")])
 
 
 def reached_states(shared):
-    """How often each state of each broadcast trie is reached from a position of the task's blocks."""
+    """How often each state of each broadcast trie is reached from a position of the task's blocks, in spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries = []
@@ -323,13 +357,26 @@ def reached_states(shared):
                     if not len(at):
                         break
                     reached += np.bincount(state, minlength=len(reached))
+        span = 1 << SPAN_BITS
         for shard, _, _, _, _, reached in tries:
-            slot = np.flatnonzero(reached)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), shard)), pa.array(slot), pa.array(reached[slot])], schema=_REACHED)
+            for k in range(0, len(reached), span):
+                if (part := reached[k : k + span]).any():
+                    yield share_row(shard << 32 | k // span, packed_span(np.pad(part, (0, span - len(part)))))
 
     return run
 
 
+def reached_often(least: int):
+    """Spans of summed counts as rows: the states reached ``least`` times or more."""
+
+    def rows(span: int, total: np.ndarray) -> pa.RecordBatch:
+        slot = np.flatnonzero(total >= least)
+        columns = [np.full(len(slot), span >> 32), slot + ((span & 0xFFFFFFFF) << SPAN_BITS), total[slot]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_REACHED)
+
+    return summed_spans(np.dtype(np.int64), rows, REACHED)
+
+
 def frequent_phrases(blocks: DataFrame, found: DataFrame, least: int) -> DataFrame:
     """``lang``, ``phrase``, ``a``: the phrases of ``found`` with ``least`` occurrences or more, counted exactly."""
     spark = blocks.sparkSession
@@ -341,7 +388,7 @@ def frequent_phrases(blocks: DataFrame, found: DataFrame, least: int) -> DataFra
     for k in range(0, shards, TRIES_AT_ONCE):
         rows = tries.where(F.col("shard").between(k, k + TRIES_AT_ONCE - 1)).select("shard", "langs", "words", "base", "check").toArrow()
         shared = spark.sparkContext.broadcast([tuple(r.values()) for r in rows.to_pylist()])
-        counted.append(written(blocks.mapInArrow(reached_states(shared), REACHED).groupBy("shard", "slot").agg(F.sum("n").alias("a")).where(F.col("a") >= least), "phrase-counts"))
+        counted.append(written(reached_often(least)(blocks.mapInArrow(reached_states(shared), SHARE)), "phrase-counts"))
         shared.unpersist()
     counts = counted[0]
     for more in counted[1:]:
@@ -363,9 +410,7 @@ def top_phrases(docs: DataFrame, least: int = 100, most: int = 2000) -> DataFram
     plain = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     blocks = written(plain.mapInArrow(_blocks, BLOCK), "phrase-blocks")
     totals = written(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")), "phrase-words")
-    words = totals.agg(F.sum("n")).first()[0] or 0
-    bits = min(max((words // BUCKET_WORDS).bit_length(), BUCKET_BITS[0]), BUCKET_BITS[1])
-    frequent = written(frequent_phrases(blocks, candidates(blocks, least, bits), least), "phrases")
+    frequent = written(frequent_phrases(blocks, candidates(blocks, least), least), "phrases")
 
     parts = F.split("phrase", " ")
     cuts = frequent.withColumn("words", parts).where(F.size("words") > 1).select("lang", "phrase", "a", "words", F.explode(F.sequence(F.lit(1), F.size("words") - 1)).alias("k"))
