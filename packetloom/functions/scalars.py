@@ -149,12 +149,22 @@ def port_label(port: Column) -> Column:
     return F.when(apps.isNotNull(), F.struct(apps.alias("app"), categories.alias("category")))
 
 
+def ranked_label(conditions, labels) -> Column:
+    """The label of the first true condition. The conditions give a number and the labels are one literal, which keeps
+    the generated code of a hundred rules small enough to compile."""
+    place = first_match((condition, F.lit(k)) for k, condition in enumerate(conditions, 1))
+    return F.try_element_at(F.array(*(label(a, c) for a, c in labels)), place)
+
+
 def host_label(host: Column) -> Column:
-    return first_match((F.lower(host).rlike(p), label(a, c)) for p, a, c in tables.HOST_PATTERNS)
+    low = F.lower(host)
+    return ranked_label((low.rlike(p) for p, _, _ in tables.HOST_PATTERNS), [(a, c) for _, a, c in tables.HOST_PATTERNS])
 
 
-def address_label(ip: Column) -> Column:
-    return first_match((ip.startswith(p), label(a, c)) for p, a, c in tables.ADDRESS_PREFIXES)
+def address_label(ip: Column, longest: bool = False) -> Column:
+    """The first listed prefix that fits, or with ``longest`` the longest one, so that no entry is hidden by a shorter one."""
+    rules = sorted(tables.ADDRESS_PREFIXES, key=lambda r: -len(r[0])) if longest else tables.ADDRESS_PREFIXES
+    return ranked_label((ip.startswith(p) for p, _, _ in rules), [(a, c) for _, a, c in rules])
 
 
 def classify_flow(host: Column, port: Column, ip: Column, protocol: Column, by_host: Column | None = None, by_ip: Column | None = None) -> Column:
@@ -185,12 +195,18 @@ def device_type_of_address(ip: Column) -> Column:
     return F.when(ip.endswith(".1"), "router").when(ip.startswith("192.168."), "computer").otherwise("device")
 
 
-def device_of_agent(agent: Column) -> tuple[Column, Column]:
-    """Device type and operating system of a user agent; the first that fits wins, so Android counts as Linux."""
+def device_of_agent(agent: Column, strict: bool = False) -> tuple[Column, Column]:
+    """Device type and operating system of a user agent; the first that fits wins, so Android counts as Linux.
+
+    With ``strict`` the systems whose names hold another's come first: Android before Linux, iOS before macOS.
+    """
     low = F.lower(F.coalesce(agent, F.lit("")))
     kind = F.when(low.contains("ipad"), "tablet").when(low.rlike("mobile|android|iphone"), "phone").when(low.rlike("windows|macintosh|linux"), "laptop")
     system = F.when(low.contains("windows"), "Windows").when(low.rlike("macintosh|mac os"), "macOS").when(low.contains("linux"), "Linux")
     system = system.when(low.contains("android"), "Android").when(low.rlike("iphone|ipad"), "iOS")
+    if strict:
+        system = F.when(low.contains("android"), "Android").when(low.rlike("iphone|ipad"), "iOS").when(low.contains("windows"), "Windows")
+        system = system.when(low.rlike("macintosh|mac os"), "macOS").when(low.contains("linux"), "Linux")
     return kind.otherwise("unknown"), system.otherwise("unknown")
 
 

@@ -86,12 +86,12 @@ def ordered_rules(df: DataFrame, text: str, rules: DataFrame, kind: str = "conta
 def classify_flows(df: DataFrame, host: str, port: str, ip: str, protocol: str) -> DataFrame:
     """Adds ``found`` (app, category, confidence) as ``classify_flow`` gives it.
 
-    Host patterns and address prefixes run on distinct hosts and addresses alone, and those that fit are joined back.
+    Host patterns and address prefixes run on distinct hosts and addresses alone, and their labels are joined back.
     """
 
     def labelled(column: str, rule, name: str) -> DataFrame:
         asked = df.select(F.col(column).alias(f"{name}_key")).where(F.col(f"{name}_key") != "").distinct()
-        return asked.withColumn(name, rule(F.col(f"{name}_key"))).where(F.col(name).isNotNull())
+        return asked.withColumn(name, rule(F.col(f"{name}_key")))  # a filter on it would be run below and double the rules
 
     hosts, addresses = labelled(host, host_label, "by_host"), labelled(ip, address_label, "by_address")
     out = df.join(hosts, df[host] == hosts["by_host_key"], "left").join(addresses, df[ip] == addresses["by_address_key"], "left")
