@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,16 +101,17 @@ def user_sessions(packets: DataFrame) -> DataFrame:
     return totals.join(used, same, "left").drop("u", "m").withColumn("applications_used", F.coalesce("applications_used", F.array().cast("array<string>")))
 
 
-def interval_union(sessions: DataFrame, keys: list[str], start: str = "start_time", end: str = "end_time", gap: str = "5 minutes", block_seconds: int = BLOCK_SECONDS) -> DataFrame:
+def interval_union(sessions: DataFrame, keys: list[str], start: str = "start_time", end: str = "end_time", gap: str = "5 minutes", block_seconds: int = BLOCK_SECONDS, sums: Sequence[str] = ()) -> DataFrame:
     """Intervals of a key merged while they stand at most ``gap`` apart; duration in seconds, counted once where they overlap.
 
     A key's history is cut into blocks of time, so a busy key is no single task. Rows without a start come first.
+    The columns ``sums`` are summed.
     """
     closed = sessions.withColumn(end, F.coalesce(end, start)).withColumn("time_block", block_of(start, block_seconds))
     reached = running(closed, keys, "time_block", [start, end], end, "max", through=False)
     fresh = F.when(F.col(start) <= F.col("running") + F.expr(f"INTERVAL {gap}"), 0).otherwise(1)
     marked = running(reached.withColumn("fresh", fresh).drop("running"), keys, "time_block", [start, end, F.desc("fresh")], "fresh", "sum")
-    merged = marked.groupBy(*keys, "running").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("sessions"))
+    merged = marked.groupBy(*keys, "running").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("sessions"), *(F.sum(c).alias(c) for c in sums))
     seconds = F.unix_seconds(F.col(end).cast("timestamp")) - F.unix_seconds(F.col(start).cast("timestamp"))
     return merged.drop("running").withColumn("duration", seconds)
 

@@ -62,12 +62,12 @@ def rebuild_devices(old: DataFrame, new: DataFrame, path: str) -> None:
 
 
 def drop_expired(spark: SparkSession, path: str, days: int = 90, as_of: date | None = None) -> list[str]:
-    """Remove the date folders of a fact that are older than ``days`` before ``as_of`` (today); no kept row is rewritten."""
+    """Remove the date folders of a fact or a rollup table that are older than ``days`` before ``as_of`` (today); no kept row is rewritten."""
     until = ((as_of or date.today()) - timedelta(days=days)).isoformat()
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
     gone = []
-    for pattern in ("date=*", "batch=*/date=*"):
+    for pattern in ("date=*", "batch=*/date=*", "base/version=*/date=*", "delta/batch=*/date=*"):
         for found in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, pattern)) or []:
             if found.getPath().getName().removeprefix("date=") < until:
                 files.delete(found.getPath(), True)

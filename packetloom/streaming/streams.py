@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from packetloom.operators.pipeline import new_connections
+from packetloom.operators.rollups import WIDTH, write_delta
 from packetloom.operators.sessions import SESSION_KEY, discover_devices, merge_devices, sessionize
 from packetloom.operators.topk import newest
 
@@ -110,6 +111,15 @@ def device_upsert(folder: str) -> Callable[[DataFrame, int], None]:
     return upsert
 
 
+def rollup_upkeep(folder: str, width: int = WIDTH) -> Callable[[DataFrame, int], None]:
+    """A hook that adds each batch of packets to the rollup table; late packets are no special case, and a rerun changes nothing."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        write_delta(batch, folder, number, width)
+
+    return add
+
+
 def snapshot_changes(folder: str, at: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """A hook that appends the connections each snapshot has and the one before it, of this or the last batch, had not."""
 
