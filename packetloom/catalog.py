@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.plans import details, entities, histories, rollups, streams, tools, traffic, upkeep
+from packetloom.plans import details, entities, histories, reports, rollups, streams, tools, traffic, upkeep
 
-MODULES = (traffic, entities, details, tools, upkeep, streams, rollups, histories)
+MODULES = (traffic, entities, details, tools, upkeep, streams, rollups, histories, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -57,11 +57,15 @@ def sessionize_by_gaps(packets: DataFrame, idle_seconds: int = 90) -> DataFrame:
 
 
 def flows_by_tuple(packets: DataFrame) -> DataFrame:
-    """Flows of the 5-tuple without an idle time; the end of a one-packet flow is null; incomplete packets are dropped."""
+    """Flows of the 5-tuple without an idle time; the end of a one-packet flow is null; incomplete packets are dropped.
+
+    Packets with a ``confidence`` of their application give the flow that of the application it takes.
+    """
     whole = packets.where("src_ip is not null and dst_ip is not null and protocol is not null")
     return whole.groupBy("src_ip", "dst_ip", "src_port", "dst_port", "protocol").agg(
         F.min("ts").alias("start_time"), F.when(F.count("*") > 1, F.max("ts")).alias("end_time"), F.sum("size").alias("bytes"), F.count("*").alias("packet_count"),
         F.bool_or(F.col("dst_port") == 443).alias("is_encrypted"), first_of("application").alias("application"),
+        *([F.min_by("confidence", F.when(F.nullif("application", F.lit("")).isNotNull(), F.struct("ts", "id"))).alias("confidence")] if "confidence" in packets.columns else []),
     )
 
 
