@@ -9,7 +9,7 @@ from packetloom.functions.periods import ago, present, since
 from packetloom.functions.scalars import without_final_dot
 from packetloom.operators import analytics
 from packetloom.operators.analytics import bytes_sum, owned, zero
-from packetloom.operators.blocks import block_of, running
+from packetloom.operators.blocks import running_sums
 from packetloom.operators.filters import matching, of_device, of_users
 from packetloom.operators.joins import as_of_join
 from packetloom.operators.topk import newest, top
@@ -82,10 +82,8 @@ def stats_rows(packets: DataFrame, every: int = 3600) -> DataFrame:
     seen = first.groupBy(bucket("ts").alias("w")).agg(F.count("*").alias("devices"))
     none = F.lit(0).cast("long")
     rows = sums.select(F.col("w.end").alias("timestamp"), "bytes", "packets", none.alias("devices")).unionByName(seen.select(F.col("w.end").alias("timestamp"), none.alias("bytes"), none.alias("packets"), "devices"))
-    rows = rows.groupBy("timestamp").agg(*(F.sum(c).alias(c) for c in ("bytes", "packets", "devices"))).withColumn("time_block", block_of("timestamp", every * 1000))
-    for name in ("bytes", "packets", "devices"):
-        rows = running(rows, [], "time_block", ["timestamp"], name, "sum").withColumnRenamed("running", f"total_{name}")
-    return rows.select("timestamp", *(f"total_{c}" for c in ("bytes", "packets", "devices")))
+    rows = rows.groupBy("timestamp").agg(*(F.sum(c).alias(c) for c in ("bytes", "packets", "devices")))
+    return running_sums(rows, "timestamp", ("bytes", "packets", "devices"), every * 1000).drop("bytes", "packets", "devices")
 
 
 def system_trend(stats: DataFrame, days: int = 30, as_of=None) -> DataFrame:

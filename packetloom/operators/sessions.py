@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.scalars import application_category, device_type_of_address, visit_url
-from packetloom.operators.blocks import BLOCK_SECONDS, block_of, running
+from packetloom.operators.blocks import BLOCK_SECONDS, KEY, block_of, keyed, running
 
 SESSION_KEY = ("src_mac", "dst_ip", "dst_port", "protocol")
 WEB_PORTS = (80, 443, 8080, 8443)
@@ -111,13 +111,13 @@ def interval_union(sessions: DataFrame, keys: list[str], start: str = "start_tim
     A key's history is cut into blocks of time, so a busy key is no single task. Rows without a start come first.
     The columns ``sums`` are summed.
     """
-    closed = sessions.withColumn(end, F.coalesce(end, start)).withColumn("time_block", block_of(start, block_seconds))
+    closed = keyed(sessions, keys).select(KEY, start, F.coalesce(end, start).alias(end), *sums).withColumn("time_block", block_of(start, block_seconds))
     reached = running(closed, keys, "time_block", [start, end], end, "max", through=False)
     fresh = F.when(F.col(start) <= F.col("running") + F.expr(f"INTERVAL {gap}"), 0).otherwise(1)
     marked = running(reached.withColumn("fresh", fresh).drop("running"), keys, "time_block", [start, end, F.desc("fresh")], "fresh", "sum")
-    merged = marked.groupBy(*keys, "running").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("sessions"), *(F.sum(c).alias(c) for c in sums))
+    merged = marked.groupBy(KEY, "running").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("sessions"), *(F.sum(c).alias(c) for c in sums))
     seconds = F.unix_seconds(F.col(end).cast("timestamp")) - F.unix_seconds(F.col(start).cast("timestamp"))
-    return merged.drop("running").withColumn("duration", seconds)
+    return merged.select(f"{KEY}.*", start, end, "sessions", *sums).withColumn("duration", seconds)
 
 
 def latest(df: DataFrame, keys: list[str], ts: str, tie: str = "id") -> DataFrame:
