@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -49,6 +50,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[str, dict] = {}
+
+
+def kept(kind: str) -> dict:
+    """What a worker process keeps between tasks for one kind of work; what it kept for another kind is given up.
+
+    Workers outlive stages, so without this the caches of one stage would stand beside the memory of the next.
+    """
+    if kind not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _KEPT[kind] = {}
+    return _KEPT[kind]
+
+
 #: Most bits of a filter: 64 MB, enough for 50 million keys at one wrong answer in 100. More keys only raise that share.
 BLOOM_BITS = 1 << 29
 BLOOM_HASHES = 3

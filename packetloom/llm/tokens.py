@@ -14,10 +14,10 @@ from array import array
 import numpy as np
 import pyarrow as pa
 
-from packetloom.llm.common import split_words
+from packetloom.llm.common import kept, split_words
 
 #: About 200 bytes each in every worker.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 CACHED_WORD_CHARS = 48
 #: Words of letters that have one lower-case form, and perhaps a mark whose ids follow theirs.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
@@ -96,14 +96,12 @@ class WordEncoder:
         return [data[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
-
-
 def encoder(path: str, end_id: int) -> WordEncoder:
     """One encoder for each worker process and file."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = WordEncoder(path, end_id)
-    return _ENCODERS[path, end_id]
+    known = kept("tokens")
+    if (path, end_id) not in known:
+        known[path, end_id] = WordEncoder(path, end_id)
+    return known[path, end_id]
 
 
 def default_vocabulary() -> str:

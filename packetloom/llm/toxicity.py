@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.common import fold, slices, small_batches, split_words, written
+from packetloom.llm.common import fold, kept, slices, small_batches, split_words, written
 
 HELD_OUT = 0
 WINDOW, STRIDE = 48, 32
@@ -332,6 +332,7 @@ _WINDOWS = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("place", p
 
 def sample_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of each sampled text that the network may learn from, at most SAMPLE_WINDOWS, as their words."""
+    kept("toxicity")
     for batch in batches:
         for part in slices(batch, 2):
             codes, bounds, words = split_words(part.column(2), lower=True)
@@ -355,6 +356,7 @@ def trained_network(sample: DataFrame) -> Network:
     steps = STEPS
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")
         rows = pa.Table.from_batches(batches, _WINDOWS)
         text = pa.concat_arrays(rows["text"].chunks)
         net = train(text, rows["doc_id"].to_numpy(), rows["toxic"].to_numpy(), steps)
@@ -382,6 +384,7 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Scorer | float:
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("toxicity")
         for batch in batches:
             for part in slices(batch, 2):
                 x = text_evidence(shared.value, part.column(2))
@@ -400,6 +403,7 @@ def scorer(docs: DataFrame, labels: DataFrame):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        kept("toxicity")
         found = shared.value
         if isinstance(found, float):
             return pd.Series(np.full(len(texts), found))
