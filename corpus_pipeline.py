@@ -14,6 +14,10 @@ from packetloom.llm import decontamination, near_dedup, packing, secret_scan, to
 from packetloom.llm.common import documents, written
 
 
+#: Words whose ids a worker keeps while it packs; the other stages' memory stands beside them.
+PACKING_WORDS = 200_000
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that the toxicity model doesn't reject. Null and empty texts and null or repeated ids are rows like any
     other; without labels of both kinds the model is a constant, which rejects nothing unless most labels are toxic."""
@@ -55,7 +59,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packed pieces of all rows; a null or empty text is its end alone, and repeated ids are packed as they stand."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, cached=PACKING_WORDS)
 
 
 STAGES = [

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from packetloom.llm.bestfit import best_fit_decreasing
 from packetloom.llm.common import slices, small_batches, written
-from packetloom.llm.tokens import default_vocabulary, encoder
+from packetloom.llm.tokens import CACHED_WORDS, default_vocabulary, encoder
 
 CAPACITY = 4096
 END_ID = 1
@@ -59,19 +59,20 @@ def _batches(table: pa.Table) -> list[pa.RecordBatch]:
     return table.combine_chunks().to_batches(max_chunksize=50_000)
 
 
-def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, cached: int = CACHED_WORDS) -> DataFrame:
     """Pack whole documents (``doc_id``, ``text``) into sequences of at most ``capacity`` tokens.
 
     A document is its ids and ``end_id``; a null or empty text is ``end_id`` alone. Only longer documents are cut, into
     pieces of ``capacity`` with a shorter last one. Repeated rows and null ids are packed like any other row; an empty
-    table gives none; other columns are not read. Returns ``PACKED`` rows; ``fill`` is the sequence's token count.
+    table gives none; other columns are not read. Returns ``PACKED`` rows; ``fill`` is the sequence's token count. A worker
+    keeps the ids of ``cached`` words: fewer take less memory and more time.
     """
     small_batches(docs.sparkSession)
     vocabulary = vocabulary or default_vocabulary()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bin_ = encoder(vocabulary, end_id).encode_flat, TaskContext.get().partitionId() << 36
+        encode, bin_ = encoder(vocabulary, end_id, cached).encode_flat, TaskContext.get().partitionId() << 36
         held: list[pa.Table] = []
         rows = 0
 

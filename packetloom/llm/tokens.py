@@ -17,7 +17,7 @@ import pyarrow as pa
 from packetloom.llm.common import kept, split_words
 
 #: About 200 bytes each in every worker.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 CACHED_WORD_CHARS = 48
 #: Words of letters that have one lower-case form, and perhaps a mark whose ids follow theirs.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
@@ -26,7 +26,8 @@ PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 class WordEncoder:
     """Encodes batches of texts, each text ended by ``end_id``."""
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, cached: int = CACHED_WORDS):
+        self.cached = cached
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,7 +79,7 @@ class WordEncoder:
         for at in range(0, len(new), 2048):
             self._learn(new[at : at + 2048])
         own = [*map(self.known.__getitem__, words), self.end]
-        room = max(0, CACHED_WORDS - (len(self.known) - len(new)))
+        room = max(0, self.cached - (len(self.known) - len(new)))
         for k, w in enumerate(new):
             if k >= room or len(w) > CACHED_WORD_CHARS:
                 del self.known[w]
@@ -96,12 +97,12 @@ class WordEncoder:
         return [data[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def encoder(path: str, end_id: int) -> WordEncoder:
-    """One encoder for each worker process and file."""
-    known = kept("tokens")
-    if (path, end_id) not in known:
-        known[path, end_id] = WordEncoder(path, end_id)
-    return known[path, end_id]
+def encoder(path: str, end_id: int, cached: int = CACHED_WORDS) -> WordEncoder:
+    """One encoder for each worker process and file, which keeps at most ``cached`` words."""
+    known, key = kept("tokens"), (path, end_id, cached)
+    if key not in known:
+        known[key] = WordEncoder(*key)
+    return known[key]
 
 
 def default_vocabulary() -> str:
