@@ -83,13 +83,26 @@ def live_table(sessions: DataFrame, devices: DataFrame, enriched: DataFrame, rul
     return rule_cascade(named, "hostname", "root_domain", "dst_ip", rules)
 
 
+#: Policies that may be broadcast, and the shares that a profile's sessions are dealt over where there are more.
+POLICIES, SHARES = 100_000, 64
+
+
+def with_policy(sessions: DataFrame, rule: DataFrame) -> DataFrame:
+    """Sessions joined to their profile's rule. Profiles are few and busy, so no profile's sessions meet in one task."""
+    if rule.count() <= POLICIES:
+        return sessions.join(F.broadcast(rule), "profile")
+    dealt = sessions.withColumn("share", F.pmod(F.xxhash64(*sessions.columns), F.lit(SHARES)))
+    shares = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long")))
+    return dealt.join(rule.withColumn("share", shares), ["profile", "share"]).drop("share")
+
+
 def alerts(sessions: DataFrame, policies: DataFrame) -> DataFrame:
     """Breaches of each profile's policy: a restricted application, use in restricted hours, or bytes over its threshold.
 
     ``sessions``: profile, application, start_time, bytes. ``policies``: profile, restricted array, hour_from, hour_to, max_bytes.
     """
     rule = policies.select("profile", "restricted", "hour_from", "hour_to", "max_bytes")
-    seen = sessions.join(rule, "profile")
+    seen = with_policy(sessions, rule)
     hour = F.hour("start_time")
     inside = F.when(F.col("hour_from") <= F.col("hour_to"), hour.between(F.col("hour_from"), F.col("hour_to"))).otherwise((hour >= F.col("hour_from")) | (hour <= F.col("hour_to")))
     row = lambda title: [F.lit(title).alias("title"), F.col("application").alias("description"), F.col("start_time").alias("time")]

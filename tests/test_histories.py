@@ -7,7 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from packetloom.functions import scalars
-from packetloom.operators import analytics, lifecycle, rollups
+from packetloom.operators import analytics, lifecycle, pipeline, rollups
 from packetloom.sources import sinks
 from packetloom.streaming import streams
 
@@ -169,6 +169,23 @@ def test_alerts(spark):
     assert rows(badges, "profile", "unseen") == ["(1, 1)", "(2, 0)", "(3, 1)", "(4, 0)"]
 
 
+def test_a_busy_profile_is_no_single_task(spark, monkeypatch):
+    """Few policies are broadcast; many meet shares of a profile's sessions. Both give the same alerts."""
+    use = spark.range(0, 600, numPartitions=3).select((F.col("id") % 2).alias("profile"), F.when(F.col("id") % 3 == 0, "Game").otherwise("Web").alias("application"), F.lit(T0).cast("timestamp_ntz").alias("start_time"), F.col("id").alias("bytes"))
+    policies = spark.createDataFrame([(0, ["Game"], 0, 1, 10)], "profile long, restricted array<string>, hour_from int, hour_to int, max_bytes long")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for large tables
+    found = pipeline.alerts(use, policies)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert "SortMergeJoin" not in plan
+    want = rows(found, "title", "description", "time")
+    assert len(want) == 100 + 300 + 1
+    monkeypatch.setattr(pipeline, "POLICIES", 0)
+    dealt = pipeline.alerts(use, policies)
+    assert "share" in dealt._jdf.queryExecution().executedPlan().toString() and rows(dealt, "title", "description", "time") == want
+
+
 def test_lookup_schedule(spark):
     tries = [
         ("new failure", 0, False), ("two", 0, False), ("two", 60, False), ("many", 0, False), ("many", 1, False), ("many", 2, False), ("many", 3, False),
