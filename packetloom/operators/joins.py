@@ -13,28 +13,26 @@ from packetloom.operators.blocks import BLOCK_SECONDS, block_of, running
 RULES = 100_000
 
 
-def range_lookup(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str, bits: int = 16) -> DataFrame:
+def range_lookup(points: DataFrame, point: str, ranges: DataFrame, low: str, high: str) -> DataFrame:
     """Left join of each point with the range that holds it (both ends count; the one with the greatest start wins).
 
-    Distinct points are matched, then joined back, so frequent points cost nothing. A range is listed under each block
-    of ``2**bits`` it touches at its own level: short ranges by blocks, ranges over many blocks under coarser blocks, so
-    that none is listed more than ``257`` times. Points look under one block of each level that some range is listed
-    at. Ranges' other columns are kept.
+    Points and ends are whole numbers. Each range is cut into aligned blocks of a power of two, at most two of a size, and each block keeps the one range
+    that wins in it, so a point meets one range for each size in use, however many ranges overlap or repeat. Distinct
+    points are matched, then joined back, so frequent points cost nothing. Ranges' other columns are kept.
     """
-    step, levels = 8, (0, 8, 16)
     names = [c for c in ranges.columns]
-    block = lambda value, level: F.floor(value / F.lit(float(1 << (bits + level)))).cast("long")
-    spans = [block(F.col(high), k) - block(F.col(low), k) for k in levels]
-    level = F.when(spans[0] <= 1 << step, levels[0]).when(spans[1] <= 1 << step, levels[1]).otherwise(levels[2])
-    listed = ranges.where(F.col(low) <= F.col(high)).withColumn("level", level)
-    first, last = (F.floor(F.col(c) / F.pow(F.lit(2.0), F.lit(bits) + F.col("level"))).cast("long") for c in (low, high))
-    listed = listed.withColumn("block", F.explode(F.sequence(first, last)))
+    held = ranges.where(F.col(low) <= F.col(high)).select(F.struct(*names).alias("range"), F.col(low).cast("long").alias("first"), (F.col(high).cast("long") + 1).alias("beyond"))
+    held = held.withColumn("level", F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("beyond") - F.col("first"))) - 1)))
+    left, right = F.expr("-shiftright(-first, level)"), F.expr("shiftright(beyond, level)")  # whole blocks of the level: left up to right
+    cut = held.where(left < right).select("range", "level", left.alias("left"), right.alias("right"))
+    ends = F.array(F.when(F.col("left") % 2 != 0, F.col("left")), F.when(F.col("right") % 2 != 0, F.col("right") - 1))  # the others are halves of larger blocks
+    listed = cut.select("range", "level", F.explode(ends).alias("block")).where("block is not null")
+    wins = lambda row: F.struct(row[low], -row[high])
+    listed = listed.repartition("level", "block").groupBy("level", "block").agg(F.max_by("range", wins(F.col("range"))).alias("range"))  # dealt first, as structs are sorted to be grouped; not broadcast, as a range has many blocks
     asked = points.select(F.col(point).alias("asked")).where("asked is not null").distinct()
-    asked = asked.withColumn("at", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), block(F.col("asked"), k).alias("block")) for k in levels))))
     used = F.broadcast(listed.select("level").distinct())  # at most one row for each level
-    asked = asked.select("asked", "at.level", "at.block").join(used, "level", "left_semi")
-    hit = asked.join(listed, ["level", "block"]).where(F.col("asked").between(F.col(low), F.col(high)))
-    best = hit.groupBy("asked").agg(F.max_by(F.struct(*names), F.struct(F.col(low), -F.col(high))).alias("best"))
+    asked = asked.crossJoin(used).withColumn("block", F.expr("shiftright(cast(asked as bigint), level)"))
+    best = asked.join(listed.hint("merge"), ["level", "block"]).groupBy("asked").agg(F.max_by("range", wins(F.col("range"))).alias("best"))
     return points.join(best, points[point] == best["asked"], "left").select(points["*"], "best.*")
 
 

@@ -211,7 +211,7 @@ with asked as (select distinct size * 977 as number from packets where size is n
 select number, max_by(range_asn, range_start) as range_asn, max_by(range_name, range_start) as range_name from asked left join networks on number between range_start and range_end group by number""")
 def network_lookup(v: Views):
     asked = v("packets").select((F.col("size") * 977).alias("number")).distinct()
-    return joins.range_lookup(asked, "number", v("networks"), "range_start", "range_end", bits=10).select("number", "range_asn", "range_name")
+    return joins.range_lookup(asked, "number", v("networks"), "range_start", "range_end").select("number", "range_asn", "range_name")
 
 
 @query("""

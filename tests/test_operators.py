@@ -58,6 +58,23 @@ def test_range_lookup_equals_between(spark):
     assert sorted(((r.p, r.k) for r in got), key=str) == sorted(want, key=str)
 
 
+def most_rows(plan):
+    """The most rows that an operator of a finished query gave."""
+    kind = plan.nodeName()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in kind else [plan.children().apply(k) for k in range(plan.children().size())]
+    own = plan.metrics().get("numOutputRows")
+    return max([own.get().value() if own.isDefined() else 0, *map(most_rows, below)])
+
+
+def test_range_lookup_of_ranges_that_overlap_or_repeat(spark):
+    """A point meets one range for each size of block, not every range that holds it."""
+    points = [(50_000 + 3 * k,) for k in range(400)] + [(-7,), (-40,)]
+    ranges = [(k, 200_000 - k, k) for k in range(300)] + [(7, 190_000, 7)] * 200 + [(-20, -5, -1), (-20, -5, -1), (9, 8, -2)]
+    found = joins.range_lookup(spark.createDataFrame(points, "p long"), "p", spark.createDataFrame(ranges, "lo long, hi long, k int"), "lo", "hi")
+    assert {r.p: r.k for r in found.collect()} == {p: 299 if p > 0 else -1 if p == -7 else None for (p,) in points}
+    assert most_rows(found._jdf.queryExecution().executedPlan()) < 20_000
+
+
 def test_as_of_and_trailing(spark):
     facts = spark.createDataFrame([(1, "a", T0), (2, "a", T0 + timedelta(seconds=181)), (3, "b", T0)], "id long, ip string, ts timestamp_ntz")
     bound = spark.createDataFrame([("a", T0, "x"), ("a", T0 + timedelta(seconds=1), "y"), ("b", T0 + timedelta(seconds=1), "z")], "ip string, ts timestamp_ntz, name string")
