@@ -27,10 +27,11 @@ def shared(v: Views, name: str) -> str:
 END = "end of stream"
 
 
-def packet_stream(v: Views) -> tuple[DataFrame, str]:
+def packet_stream(v: Views, files: int | None = 64) -> tuple[DataFrame, str]:
     """The packets of ``events`` as a stream of files, with a last row far ahead that closes all windows, and a watermark.
 
-    Files are read in no order of time, so the watermark is longer than the table's span: no row is late.
+    Files are read in no order of time, so the watermark is longer than the table's span: no row is late. A batch has at
+    most ``files`` files, if given, else all.
     """
     path = shared(v, "packet-files")
     packets = v("packets").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -39,7 +40,8 @@ def packet_stream(v: Views) -> tuple[DataFrame, str]:
     ahead = packets.orderBy(F.desc("ts"), F.desc("id")).limit(1).withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {2 * days + 30} days")).withColumn("src_mac", F.lit(END))
     packets.write.parquet(f"{path}/1")
     ahead.write.parquet(f"{path}/2")
-    return v.spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 64).parquet(f"{path}/*"), f"{days} days"
+    reader = v.spark.readStream.schema(packets.schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{path}/*"), f"{days} days"
 
 
 def finished(v: Views, stream: DataFrame) -> DataFrame:
@@ -110,11 +112,11 @@ def stream_devices(v: Views):
 with b as (select ts, dst_ip, max(domain) as name from packets where domain is not null group by ts, dst_ip)
 select p.id, b.name from packets p asof left join b on p.dst_ip = b.dst_ip and p.ts >= b.ts""")
 def stream_names(v: Views):
-    """ST4: names kept as state, used on later packets."""
-    packets, _ = packet_stream(v)
-    packets = packets.where(F.col("src_mac") != END)
-    bindings = packets.where("domain is not null").select("ts", F.col("dst_ip").alias("ip"), F.col("domain").alias("name"))
-    return finished(v, streams.named_stream(packets, bindings, None)).select("id", "name")
+    """ST4: names kept as state, used on later packets. The files stand in no order of time, so all of them are one batch."""
+    path = shared(v, "names")
+    packets, _ = packet_stream(v, None)
+    hooked(v, packets.where(F.col("src_mac") != END), streams.named_batches(path))
+    return v.spark.read.parquet(f"{path}/named").select("id", "name")
 
 
 @query("""

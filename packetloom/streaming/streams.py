@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from packetloom.operators.joins import as_of_join
 from packetloom.operators.pipeline import new_connections
 from packetloom.operators.rollups import WIDTH, write_delta
 from packetloom.operators.sessions import SESSION_KEY, discover_devices, merge_devices, sessionize
@@ -54,6 +55,7 @@ def named_stream(packets: DataFrame, bindings: DataFrame, keep_ms: int | None =
     """Packets with the name last bound to their destination; a name is forgotten when its address is idle for ``keep_ms``, if given.
 
     ``bindings``: ts, ip, name. Rows of a batch are taken in order of time, a binding before a packet of the same time.
+    An address's rows of one batch are sorted in one Python frame; ``named_batches`` has no such bound.
     """
     mine = packets.select("id", F.col("ts").cast("timestamp").alias("ts"), F.col("dst_ip").alias("ip"), F.lit(None).cast("string").alias("name"))
     theirs = bindings.select(F.lit(None).cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "ip", "name")
@@ -111,6 +113,24 @@ def device_upsert(folder: str) -> Callable[[DataFrame, int], None]:
     return upsert
 
 
+def named_batches(folder: str) -> Callable[[DataFrame, int], None]:
+    """A hook that writes each batch's packets (``named``) with the name last bound to their destination, by an earlier batch
+    or this one, and the last name of every address (``last``). Names are ``domain`` of the packets and are never forgotten.
+
+    The join is cut into blocks of time, so a busy address is no single task. A batch that runs again replaces its own.
+    """
+
+    def name(batch: DataFrame, number: int) -> None:
+        bindings = batch.where("domain is not null and dst_ip is not null").select("dst_ip", "ts", F.col("domain").alias("name"))
+        if number:
+            bindings = bindings.unionByName(batch.sparkSession.read.parquet(f"{folder}/last/batch={number - 1}"))
+        as_of_join(batch.select("id", "ts", "dst_ip"), "dst_ip", "ts", bindings, "name").write.mode("overwrite").parquet(f"{folder}/named/batch={number}")
+        last = bindings.groupBy("dst_ip").agg(F.max("ts").alias("ts"), F.max_by("name", F.struct("ts", "name")).alias("name"))
+        last.write.mode("overwrite").parquet(f"{folder}/last/batch={number}")
+
+    return name
+
+
 def rollup_upkeep(folder: str, width: int = WIDTH) -> Callable[[DataFrame, int], None]:
     """A hook that adds each batch of packets to the rollup table; late packets are no special case, and a rerun changes nothing."""
 

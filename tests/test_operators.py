@@ -288,6 +288,17 @@ def test_named_stream_equals_as_of_join(spark, tmp_path):
     assert got[1] is None and got[2] == "a" and got[4] is None and got[3] == "b"
 
 
+def test_named_batches_carry_names(spark, tmp_path):
+    """A name holds on in later batches and hours, also for a batch with rows from before it; a rerun changes nothing."""
+    one = [packet(1, 0, domain=None), packet(2, 5, domain="a"), packet(3, 5, domain="b"), packet(4, 5, domain=None), packet(5, 9, domain=None, dst_ip="other")]
+    two = [packet(6, 2, domain=None), packet(7, 9000, domain=None), packet(8, 9001, domain="c"), packet(9, 90_000, domain=None)]
+    name = streams.named_batches(f"{tmp_path}/names")
+    for number, rows in ((0, one), (1, two), (1, two), (2, [packet(10, 7, domain=None), packet(11, 99_000, domain=None)])):
+        name(spark.createDataFrame(rows, PACKET), number)
+    got = {r.id: r.name for r in spark.read.parquet(f"{tmp_path}/names/named").collect()}
+    assert got == {1: None, 2: "b", 3: "b", 4: "b", 5: None, 6: None, 7: "b", 8: "c", 9: "c", 10: None, 11: "c"}
+
+
 def test_session_log_is_rerun_safe(spark, tmp_path):
     log = streams.session_log(f"{tmp_path}/log", 2)
     for number, rows in ((0, [packet(1, 0), packet(2, 500), packet(3, 900)]), (1, [packet(4, 2000)]), (1, [packet(4, 2000)])):
