@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from packetloom.functions import scalars, tables
 from packetloom.operators import lifecycle, pipeline
 from packetloom.plans.entities import _case
+from packetloom.plans.streams import shared
 from packetloom.plans.upkeep import profile_sessions
 from packetloom.plans.views import Views, registry
 
@@ -73,6 +74,13 @@ LATER = f"""{TURNS}, clicked as (select profile, title, description, time, seen
 kept as (select * from clicked where profile <> 1 or time > (select max(time) - interval '900' day from ledger where profile = 1))"""
 
 
+def stored(v: Views, name: str, rows: DataFrame) -> DataFrame:
+    """The rows written to the shared folder and read back, so that what reads them several times doesn't derive them again."""
+    path = shared(v, name)
+    rows.write.parquet(path)
+    return v.spark.read.schema(rows.schema).parquet(path)
+
+
 def ledger(v: Views) -> DataFrame:
     """The alerts found now and those kept from before, some of them seen."""
     policies = v.spark.createDataFrame([(k, ["Brand#11", "Brand#21", "Brand#31"], None, None, None) for k in (0, 1)], POLICY)
@@ -83,7 +91,7 @@ def ledger(v: Views) -> DataFrame:
 
 def after_clicks(v: Views) -> DataFrame:
     """The ledger after clicks (one, or two where the day is a multiple of 7) and profile 1's clearing of what was old."""
-    alerts = ledger(v)
+    alerts = stored(v, "alert-ledger", ledger(v))
     once = alerts.where(F.dayofmonth("time") % 5 == 1).select(*lifecycle.ALERT)
     more = alerts.where(F.dayofmonth("time") % 5 == 2).select(*lifecycle.ALERT)
     twice = once.unionByName(more).where(F.dayofmonth("time") % 7 == 0)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import scalars
 from packetloom.operators import analytics, lifecycle, pipeline, rollups
+from packetloom.plans import histories
+from packetloom.plans.views import Views
 from packetloom.sources import sinks
 from packetloom.streaming import streams
 
@@ -186,6 +188,12 @@ def test_a_busy_profile_is_no_single_task(spark, monkeypatch):
     assert "share" in dealt._jdf.queryExecution().executedPlan().toString() and rows(dealt, "title", "description", "time") == want
 
 
+def test_clicks_and_clears_read_the_ledger(spark, sf_dir):
+    """The sessions are joined for the ledger alone, not again for each kind of click, and no task holds all of these joins."""
+    left = histories.after_clicks(Views(spark, sf_dir))
+    assert left.inputFiles() and all("/alert-ledger-" in f for f in left.inputFiles())
+
+
 def test_lookup_schedule(spark):
     tries = [
         ("new failure", 0, False), ("two", 0, False), ("two", 60, False), ("many", 0, False), ("many", 1, False), ("many", 2, False), ("many", 3, False),
