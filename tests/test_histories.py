@@ -194,6 +194,12 @@ def test_clicks_and_clears_read_the_ledger(spark, sf_dir):
     assert left.inputFiles() and all("/alert-ledger-" in f for f in left.inputFiles())
 
 
+def test_badges_read_the_ledger(spark, sf_dir):
+    """Badges need the profiles and the ledger, no sessions."""
+    read = histories.alert_badges(Views(spark, sf_dir)).inputFiles()
+    assert any("/supplier" in f for f in read) and not any("/lineitem" in f or "/part.parquet" in f for f in read)
+
+
 def test_lookup_schedule(spark):
     tries = [
         ("new failure", 0, False), ("two", 0, False), ("two", 60, False), ("many", 0, False), ("many", 1, False), ("many", 2, False), ("many", 3, False),
