@@ -84,7 +84,7 @@ def stored(v: Views, name: str, rows: DataFrame) -> DataFrame:
 def ledger(v: Views) -> DataFrame:
     """The alerts found now and those kept from before, some of them seen."""
     policies = v.spark.createDataFrame([(k, ["Brand#11", "Brand#21", "Brand#31"], None, None, None) for k in (0, 1)], POLICY)
-    found = pipeline.alerts(profile_sessions(v), policies).where("title = 'restricted application'")
+    found = stored(v, "alerts-found", pipeline.alerts(profile_sessions(v), policies).where("title = 'restricted application'"))
     old = found.where(F.dayofmonth("time") % 3 == 0).withColumn("seen", F.dayofmonth("time") % 2 == 0)
     return lifecycle.merge_alerts(old, found)
 

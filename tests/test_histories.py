@@ -188,6 +188,12 @@ def test_a_busy_profile_is_no_single_task(spark, monkeypatch):
     assert "share" in dealt._jdf.queryExecution().executedPlan().toString() and rows(dealt, "title", "description", "time") == want
 
 
+def test_alerts_are_found_once(spark, sf_dir):
+    """Alerts of now and of before come from one pass over the sessions."""
+    found = histories.alert_ledger(Views(spark, sf_dir)).inputFiles()
+    assert found and all("/alerts-found-" in f for f in found)
+
+
 def test_clicks_and_clears_read_the_ledger(spark, sf_dir):
     """The sessions are joined for the ledger alone, not again for each kind of click, and no task holds all of these joins."""
     left = histories.after_clicks(Views(spark, sf_dir))
